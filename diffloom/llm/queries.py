@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffloom.llm import consensus as c3
+from diffloom.llm import prose_model as c8
 from diffloom.session import table
 
 
@@ -24,7 +25,12 @@ def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c3.krippendorff(table(spark, sf_dir, "df_inter_rater")).select(*[F.round(c, 6).alias(c) for c in ("alpha", "observed", "expected")])
 
 
-QUERIES = {"p3_found": p3_found, "p3_raters": p3_raters, "p3_agreement": p3_agreement}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are keyword-stuffed or link-list pages."""
+    return c8.score_pages(table(spark, sf_dir, "documents")).filter("spam").select("doc_id").distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p3_raters": p3_raters, "p3_agreement": p3_agreement, "p8_found": p8_found}
 
 _LABELS = ", ".join(f"'{x}'" for x in c3.LABELS)
 _ALIASES = " ".join(f"WHEN word = '{a}' THEN '{b}'" for a, b in c3.ALIASES.items())
