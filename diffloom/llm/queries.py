@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffloom.llm import consensus as c3
+from diffloom.llm import handwritten as c4
 from diffloom.llm import prose_model as c8
 from diffloom.session import table
 
@@ -25,12 +26,26 @@ def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c3.krippendorff(table(spark, sf_dir, "df_inter_rater")).select(*[F.round(c, 6).alias(c) for c in ("alpha", "observed", "expected")])
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c4.label_files(table(spark, sf_dir, "source_files").filter("purpose = 'programming'"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The programming files that nobody wrote by hand for the project."""
+    return _labels(spark, sf_dir).filter("label <> 'handwritten'").select("file_id").distinct()
+
+
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programming files by label."""
+    return _labels(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are keyword-stuffed or link-list pages."""
     return c8.score_pages(table(spark, sf_dir, "documents")).filter("spam").select("doc_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_raters": p3_raters, "p3_agreement": p3_agreement, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_raters": p3_raters, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_labels": p4_labels, "p8_found": p8_found}
 
 _LABELS = ", ".join(f"'{x}'" for x in c3.LABELS)
 _ALIASES = " ".join(f"WHEN word = '{a}' THEN '{b}'" for a, b in c3.ALIASES.items())
