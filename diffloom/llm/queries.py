@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from diffloom.llm import consensus as c3
 from diffloom.llm import handwritten as c4
 from diffloom.llm import leakage as c6
+from diffloom.llm import mixing as c7
 from diffloom.llm import prose_model as c8
 from diffloom.session import table
 
@@ -51,12 +52,22 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c6.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected copies with their slots."""
+    return c7.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).selection
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share that each source reached."""
+    return c7.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are keyword-stuffed or link-list pages."""
     return c8.score_pages(table(spark, sf_dir, "documents")).filter("spam").select("doc_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_raters": p3_raters, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_labels": p4_labels, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_raters": p3_raters, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_labels": p4_labels, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found}
 
 _LABELS = ", ".join(f"'{x}'" for x in c3.LABELS)
 _ALIASES = " ".join(f"WHEN word = '{a}' THEN '{b}'" for a, b in c3.ALIASES.items())
