@@ -9,10 +9,22 @@ from diffloom.llm import consensus as c3
 from diffloom.llm import handwritten as c4
 from diffloom.llm import leakage as c6
 from diffloom.llm import mixing as c7
+from diffloom.llm import names as c2
 from diffloom.llm import prose_model as c8
 from diffloom.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of rows whose author means the same person or organisation."""
+    return c2.linked_pairs(table(spark, sf_dir, "author_stats"))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, spellings and commits of each entity."""
+    rows = c2.entity_rows(table(spark, sf_dir, "author_stats")).filter("entity IS NOT NULL")
+    return rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("author").alias("n_spellings"), F.sum("count").alias("commits"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most probable label of each item that a rater labelled."""
     return c3.consensus(table(spark, sf_dir, "df_inter_rater")).items.select("id", "file", "image", "line", "annotation")
@@ -67,7 +79,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c8.score_pages(table(spark, sf_dir, "documents")).filter("spam").select("doc_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_raters": p3_raters, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_labels": p4_labels, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_raters": p3_raters, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_labels": p4_labels, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found}
 
 _LABELS = ", ".join(f"'{x}'" for x in c3.LABELS)
 _ALIASES = " ".join(f"WHEN word = '{a}' THEN '{b}'" for a, b in c3.ALIASES.items())
