@@ -47,140 +47,136 @@ TOKEN = re.compile(
 MARKS = set(".,:;?!|>-*#()[]\"'/+=<{}")
 _SOFT = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 
-#: A prose line, for training: so many words at least, of which such a share are function words, and an end mark.
+# Every class is one character, so that a sentence is a string: function words are upper-case letters, marks themselves, the
+# rest lower-case; w is a content word, which becomes the digit of its place in its run.
+CLASS = {"url": "u", "html": "h", "code": "c", "path": "p", "hex": "x", "tag": "t", "chain": "k", "number": "n", "mixed": "m"}
+FUNCTION = "".join(FUNCTION_WORDS)
+TECHNICAL = "cpx"
+#: So long a run of content words is told apart; a longer one counts as this long.
+RUN = 6
+_RUN = re.compile("w+")
+_PLACES = "".join(str(i) for i in range(1, RUN))
+
+#: A prose sentence, for training: so many words at least, of which such a share are function words, and an end mark.
 PROSE_WORDS, PROSE_SHARE = 6, 0.2
 #: Interpolation of trigram, bigram and unigram probabilities, and the count added to each unigram.
 WEIGHTS, ADD = (0.7, 0.2, 0.1), 0.5
 
-
-#: So long a run of content words is told apart; a longer one counts as this long.
-RUN = 6
-#: Classes of chunks between blanks, kept while there are fewer than this; then they are forgotten.
-_KNOWN: dict[str, tuple[tuple[str, str], ...]] = {}
+#: (classes, letters, words, whether a sentence ends) of chunks between blanks, while there are fewer than this.
+_KNOWN: dict[str, tuple[str, int, tuple[str, ...], bool]] = {}
 _KNOWN_MOST = 200_000
 
 
-def _chunk(chunk: str) -> tuple[tuple[str, str], ...]:
-    if (known := _KNOWN.get(chunk)) is not None:
-        return known
-    out = []
+def _chunk(chunk: str) -> tuple[str, int, tuple[str, ...], bool]:
+    out, words, letters = [], [], 0
     for m in TOKEN.finditer(chunk):
         kind, text = m.lastgroup, m[0]
         if kind == "word":
             low = text.lower()
-            out.append((KIND.get(low, "w"), low))
+            out.append(KIND.get(low, "w"))
+            words.append(low)
+            letters += len(text)
         elif kind == "mark":
-            out.append((text if text in MARKS else "%", text))
+            out.append(text if text in MARKS else "%")
         else:
-            out.append((kind, text.lower()))
+            out.append(c := CLASS[kind])
+            if c in "tkm":
+                words.append(text.lower())
+            if c not in "hn":
+                letters += len(text)
+    classes = "".join(out)
     if len(_KNOWN) >= _KNOWN_MOST:
         _KNOWN.clear()
-    _KNOWN[chunk] = found = tuple(out)
+    _KNOWN[chunk] = found = (classes, letters, tuple(words), classes.rstrip("\"')]*")[-1:] in (".", "?", "!"))
     return found
 
 
-def classes(line: str) -> list[tuple[str, str]]:
-    """(class, lower-case text) of each token of a line. A content word's class bears its place in its run."""
-    out = []
-    run = 0
-    for chunk in line.split():
-        for c, text in _chunk(chunk):
-            if c == "w":
-                run = min(run + 1, RUN)
-                out.append((CONTENT[run], text))
-            else:
-                run = min(run + 1, RUN) if c in ("chain", "mixed") else 0
-                out.append((c, text))
-    return out
-
+def _place(run: re.Match) -> str:
+    n = len(run[0])
+    return _PLACES[:n] + str(RUN) * (n - RUN + 1)
 
-CONTENT = ["", *(f"w{i}" for i in range(1, RUN + 1))]
-WORDS = {*FUNCTION_WORDS, *CONTENT[1:], "chain", "tag", "mixed"}
-FUNCTION = set(FUNCTION_WORDS)
-TECHNICAL = {"code", "path", "hex"}
 
+def sentences(text: str) -> Iterator[tuple[str, int, list[str]]]:
+    """(classes, letters, words) of each sentence of each line; a sentence ends with a chunk that ends with . ? or !"""
+    for line in (text if text.isascii() else text.translate(_SOFT)).splitlines():
+        parts: list[str] = []
+        words: list[str] = []
+        letters = 0
+        for chunk in line.split():
+            classes, n, own, ends = _KNOWN.get(chunk) or _chunk(chunk)
+            parts.append(classes)
+            letters += n
+            words += own
+            if ends:
+                yield _RUN.sub(_place, "".join(parts)), letters, words
+                parts, words, letters = [], [], 0
+        if parts:
+            yield _RUN.sub(_place, "".join(parts)), letters, words
 
-def lines_of(text: str) -> list[list[tuple[str, str]]]:
-    return [c for line in text.translate(_SOFT).splitlines() if (c := classes(line))]
 
+def count_of(classes: str, kinds: str) -> int:
+    return sum(map(classes.count, kinds))
 
-def sentences(tokens: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
-    """A line cut after each full stop, question or exclamation mark."""
-    out, start = [], 0
-    for i, (c, _) in enumerate(tokens):
-        if c in ".?!":
-            out.append(tokens[start : i + 1])
-            start = i + 1
-    if start < len(tokens):
-        out.append(tokens[start:])
-    return out
 
-
-def is_prose(tokens: list[tuple[str, str]]) -> bool:
-    words = [c for c, _ in tokens if c in WORDS or c == "code"]
-    return len(words) >= PROSE_WORDS and tokens[-1][0] in ".?!" and sum(c in FUNCTION for c in words) >= PROSE_SHARE * len(words)
+def is_prose(classes: str, n_words: int) -> bool:
+    n = n_words + classes.count("c")
+    return n >= PROSE_WORDS and not {".", "?", "!"}.isdisjoint(classes[-3:]) and count_of(classes, FUNCTION) >= PROSE_SHARE * n
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
     for pdf in batches:
         for text in pdf["text"]:
-            for line in lines_of(text or ""):
-                # repeated sentences of a page train the model once
-                for s in {tuple(c for c, _ in s) for s in sentences(line) if is_prose(s)}:
-                    seq = ("^", "^", *s, "$")
-                    counts.update(zip(seq, seq[1:], seq[2:]))
-    yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["a", "b", "c", "n"])
+            # repeated sentences of a page train the model once
+            for s in {c for c, _, words in sentences(text) if is_prose(c, len(words))} if isinstance(text, str) else ():
+                seq = f"^^{s}$"
+                counts.update(map("".join, zip(seq, seq[1:], seq[2:])))
+    yield pd.DataFrame(list(counts.items()), columns=["gram", "n"])
 
 
 def train(documents: DataFrame) -> DataFrame:
-    """(a, b, c, n): class trigram counts over the prose sentences of all documents. Null and empty texts have none.
+    """(gram, n): class trigram counts over the prose sentences of all documents. Null and empty texts have none.
 
     There are fewer than 60 classes, so the table has at most 60^3 rows whatever the corpus.
     """
-    parts = documents.select("text").mapInPandas(_count, "a string, b string, c string, n bigint")
-    return parts.groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+    return documents.select("text").mapInPandas(_count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class ClassModel:
     """Interpolated trigram probabilities, in bits."""
 
-    def __init__(self, rows: list[tuple[str, str, str, int]]):
+    def __init__(self, rows: list[tuple[str, int]]):
         self.tri: Counter = Counter()
         self.bi: Counter = Counter()
         self.uni: Counter = Counter()
-        self.ctx2: Counter = Counter()
-        self.ctx1: Counter = Counter()
-        for a, b, c, n in rows:
-            self.tri[a, b, c] += n
-            self.ctx2[a, b] += n
-            self.bi[b, c] += n
-            self.ctx1[b] += n
-            self.uni[c] += n
+        self.before2: Counter = Counter()
+        self.before1: Counter = Counter()
+        for gram, n in rows:
+            self.tri[gram] += n
+            self.before2[gram[:2]] += n
+            self.bi[gram[1:]] += n
+            self.before1[gram[1]] += n
+            self.uni[gram[2]] += n
         self.total = sum(self.uni.values())
-        self.cache: dict[tuple[str, str, str], float] = {}
+        self.known: dict[str, float] = {}
 
-    def bits(self, a: str, b: str, c: str) -> float:
-        key = (a, b, c)
-        if (known := self.cache.get(key)) is not None:
-            return known
+    def bits(self, gram: str) -> float:
         w3, w2, w1 = WEIGHTS
-        p = w1 * (self.uni[c] + ADD) / (self.total + ADD * 60)
-        if self.ctx1[b]:
-            p += w2 * self.bi[b, c] / self.ctx1[b]
-        if self.ctx2[a, b]:
-            p += w3 * self.tri[a, b, c] / self.ctx2[a, b]
-        self.cache[key] = bits = -math.log2(p)
+        p = w1 * (self.uni[gram[2]] + ADD) / (self.total + ADD * 60)
+        if n := self.before1[gram[1]]:
+            p += w2 * self.bi[gram[1:]] / n
+        if n := self.before2[gram[:2]]:
+            p += w3 * self.tri[gram] / n
+        self.known[gram] = bits = -math.log2(p)
         return bits
 
-    def line_bits(self, seq: list[str]) -> float:
-        """Mean bits a token of a line."""
-        a = b = "^"
-        total = 0.0
-        for c in (*seq, "$"):
-            total += self.bits(a, b, c)
-            a, b = b, c
-        return total / (len(seq) + 1)
+    def sentence_bits(self, classes: str) -> float:
+        """Mean bits a token of a sentence, its end included."""
+        seq = f"^^{classes}$"
+        known, total = self.known, 0.0
+        for gram in map("".join, zip(seq, seq[1:], seq[2:])):
+            total += known.get(gram) or self.bits(gram)
+        return total / (len(classes) + 1)
 
 
 #: A told sentence: so many words or code at least, such a share of them function words, and at most so many bits a token.
@@ -202,29 +198,25 @@ def score_page(text: str, model: ClassModel) -> tuple[float, float, float, float
     every = high = tech = told = 0
     odd = odd_n = 0.0
     stream: list[str] = []
-    for line in lines_of(text):
-        for s in sentences(line):
-            kinds = [c for c, _ in s]
-            words = [t for c, t in s if c in WORDS]
-            letters = sum(len(t) for c, t in s if c in WORDS or c == "url" or c in TECHNICAL)
-            if not letters:
-                continue
-            every += letters
-            technical = sum(c in TECHNICAL for c in kinds)
-            n = len(words) + technical
-            bits = model.line_bits(kinds)
-            commas = kinds.count(",") + kinds.count(";")
-            listed = commas >= LIST_PARTS and len(words) < LIST_WORDS * (commas + 1)
-            if n >= TOLD_WORDS and bits <= TOLD_BITS and not listed and sum(c in FUNCTION for c in kinds) >= TOLD_SHARE * n:
-                told += letters
-                stream += words
-            elif technical * 12 >= n > 0 and technical or not {"{", "}", "="}.isdisjoint(kinds) or ("|" in kinds and 3 * kinds.count("number") >= len(words)):
-                tech += letters
-            else:
-                high += letters
-                odd += bits * len(kinds)
-                odd_n += len(kinds)
-                stream += words
+    for classes, letters, words in sentences(text):
+        if not letters:
+            continue
+        every += letters
+        technical = count_of(classes, TECHNICAL)
+        n = len(words) + technical
+        bits = model.sentence_bits(classes)
+        commas = classes.count(",") + classes.count(";")
+        listed = commas >= LIST_PARTS and len(words) < LIST_WORDS * (commas + 1)
+        if n >= TOLD_WORDS and bits <= TOLD_BITS and not listed and count_of(classes, FUNCTION) >= TOLD_SHARE * n:
+            told += letters
+            stream += words
+        elif technical * 12 >= n > 0 and technical or count_of(classes, "{}=") or ("|" in classes and 3 * classes.count("n") >= len(words)):
+            tech += letters
+        else:
+            high += letters
+            odd += bits * len(classes)
+            odd_n += len(classes)
+            stream += words
     grams = list(zip(stream, stream[1:], stream[2:]))
     low = 1 - len(set(grams)) / len(grams) if grams else 0.0
     every_ = every or 1
