@@ -13,8 +13,8 @@ FILE = ("patch_id", "file_idx")
 HUNK = (*FILE, "hunk_idx")
 
 
-def changed(kind: Column = F.col("line_type")) -> Column:
-    return kind.isin("-", "+")
+def changed() -> Column:
+    return F.col("line_type").isin("-", "+")
 
 
 def numbered_groups(lines: DataFrame, keys: tuple[str, ...] = HUNK, order: tuple[str, ...] = ("line_idx",)) -> DataFrame:

@@ -38,9 +38,9 @@ def changed_lines(documents: DataFrame) -> DataFrame:
     return rows.select("bug_id", "patch_id", "file_name", "file_purpose", "side", F.col("line.id").alias("line_id"), F.col("line.type").alias("line_type"), F.col("line.purpose").alias("line_purpose"))
 
 
-def by_purpose(kind: Column = F.col("line_type"), purpose: Column = F.col("file_purpose"), rules: dict[str, str] | None = None) -> Column:
+def by_purpose(rules: dict[str, str] | None = None) -> Column:
     """The type of a line, overridden where its file's purpose decides it."""
-    override = None
+    kind, purpose, override = F.col("line_type"), F.col("file_purpose"), None
     for p, t in (PURPOSE_TO_TYPE if rules is None else rules).items():
         override = F.when(purpose == p, t) if override is None else override.when(purpose == p, t)
     return kind if override is None else F.coalesce(override, kind)
