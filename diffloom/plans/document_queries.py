@@ -81,11 +81,12 @@ def top_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kind_counts(spark, sf_dir).groupBy("file_name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "file_name").limit(10)
 
 
-def author_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines by kind in the patches of the authors named in the timeline, by a semi join on patches."""
+def author_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by author and kind; a patch gathered twice has the author first by name."""
     lines = ga.changed_lines(_documents(spark, sf_dir)).filter("line_type IS NOT NULL")
-    named = rs.plain(table(spark, sf_dir, "timeline")).filter("author_name LIKE 'A%'").select("bug_id", "patch_id")
-    return lines.join(named, ["bug_id", "patch_id"], "left_semi").groupBy("line_type").agg(F.count(F.lit(1)).alias("n"))
+    authors = rs.plain(table(spark, sf_dir, "timeline")).groupBy("bug_id", "patch_id").agg(F.min("author_name").alias("author"))
+    per_patch = lines.groupBy("bug_id", "patch_id", "line_type").agg(F.count(F.lit(1)).alias("n"))
+    return per_patch.join(authors, ["bug_id", "patch_id"]).groupBy("author", "line_type").agg(F.sum("n").alias("n"))
 
 
 def selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +296,7 @@ def lex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     purpose_counter, purpose_per_file, lines_stats, lines_stats_override, timeline_counts, timeline_wide, added_lines, totals_positive, commit_columns, describe_per_patch, file_linetype_counts, top_changed_files,
-    author_file_counts, selected_files, dir_rollup, split_dirs, file_to_dir, own_file_nodes, sankey_depth_limit, sankey_width_limit, sankey_tail, sankey_thin, sankey_process, sankey_mermaid, line_type_totals, dir_intersect, ancestors,
+    author_line_counts, selected_files, dir_rollup, split_dirs, file_to_dir, own_file_nodes, sankey_depth_limit, sankey_width_limit, sankey_tail, sankey_thin, sankey_process, sankey_mermaid, line_type_totals, dir_intersect, ancestors,
     path_functions, classify_paths, classified_against_given, missing_keys, without_dev_null, nunique_keys, line_flags, line_callbacks, line_kind, chunk_metrics, hunk_file_lines, hunk_coordinates, file_spreads, extents, front_fill,
     hunk_line_totals, line_survival, clean_text, json_explode, format_version, skipped_names, normalise_layouts, diff_documents, lex_lines,
 )}
@@ -395,7 +396,7 @@ SQL = {
     "commit_columns": f"WITH {DOCS} SELECT bug_id, patch_id, {COMMIT} FROM docs",
     "describe_per_patch": f"WITH {DOCS}, per AS (SELECT bug_id, patch_id, count(*) AS n_lines, count(DISTINCT file_name) AS n_files FROM lines GROUP BY 1, 2) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c})::DOUBLE AS min, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, max({c})::DOUBLE AS max FROM per" for c in ("n_lines", "n_files")),
     "file_linetype_counts": f"WITH {DOCS}, {KINDS} SELECT * FROM kinds", "top_changed_files": f"WITH {DOCS}, {KINDS} SELECT file_name, sum(n)::BIGINT AS n FROM kinds GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
-    "author_file_counts": f"WITH {DOCS} SELECT line_type, count(*) AS n FROM lines WHERE line_type IS NOT NULL AND (bug_id, patch_id) IN (SELECT (bug_id, patch_id) FROM timeline WHERE \"author.name\" LIKE 'A%') GROUP BY 1",
+    "author_line_counts": f"WITH {DOCS}, a AS (SELECT bug_id, patch_id, min(\"author.name\") AS author FROM timeline GROUP BY 1, 2) SELECT author, line_type, count(*) AS n FROM lines JOIN a USING (bug_id, patch_id) WHERE line_type IS NOT NULL GROUP BY 1, 2",
     "selected_files": f"WITH {DOCS}, {KINDS} SELECT * FROM kinds WHERE file_name IN (SELECT file_name FROM kinds GROUP BY 1 HAVING sum(n) >= 10)",
     "dir_rollup": f"WITH {DOCS}, {KINDS}, {ROLLUP} SELECT * FROM rollup_edges",
     "split_dirs": f"WITH {DOCS}, {KINDS}, links AS (SELECT unnest({_ancestors_sql('file_name')}) AS e, n FROM kinds) SELECT src, dst, sum(n)::BIGINT AS n FROM (SELECT e.parent AS src, e.child AS dst, n FROM links UNION ALL SELECT file_name, kind, n FROM kinds) GROUP BY 1, 2",
