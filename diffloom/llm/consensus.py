@@ -2,7 +2,8 @@
 
 Every annotator has a confusion matrix with a Dirichlet prior on each row, the classes have a Dirichlet prior, and
 each item has one latent class. An update is two group-bys: votes are joined with the annotators' expected log
-probabilities and summed by item (E step), and the items' posteriors are summed by annotator and label (M step).
+probabilities and summed by item (E step), and the items' posteriors are summed by annotator and label (M step). An update
+is one job, and only the annotators' counts are stored between updates.
 
 Items with the same votes have the same posterior, so the updates run over distinct vote patterns with their counts.
 """
@@ -31,14 +32,18 @@ PRIOR_RIGHT, PRIOR_WRONG, PRIOR_CLASS = 2.3, 0.3, 1.0
 ITERATIONS = 40
 #: The updates end when no expected log probability of an annotator moves more than this.
 TOLERANCE = 0.01
+#: After so many updates each time, it is looked whether they may end.
+CHECKED = 5
+#: The name under which the class shares stand among the annotators; no annotator has it.
+CLASSES = "(classes)\t"
 
 
-def digamma(x: Column) -> Column:
-    """The digamma function of a positive column: six steps up, then the asymptotic series."""
-    y = x + 6
-    steps = sum((1 / (x + i) for i in range(1, 6)), 1 / x)
-    z = 1 / (y * y)
-    return F.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z / 252)) - steps
+def digamma(x: str) -> str:
+    """SQL of the digamma function of a positive value: six steps up, then the asymptotic series."""
+    steps = " + ".join(f"1 / (({x}) + {i})" for i in range(6))
+    y = f"(({x}) + 6)"
+    z = f"(1 / ({y} * {y}))"
+    return f"(ln({y}) - 0.5D / {y} - {z} * (1D / 12 - {z} * (1D / 120 - {z} / 252)) - ({steps}))"
 
 
 def clean_label(raw: Column) -> Column:
@@ -82,6 +87,37 @@ def _q(k: int) -> str:
     return f"q{k}"
 
 
+def _each(text: str, joint: str = ", ") -> str:
+    """``text`` for each class, with its number for # and its name for @."""
+    return joint.join(text.replace("#", str(k)).replace("@", name) for k, name in enumerate(LABELS))
+
+
+# One update in SQL, as a plan made of Column calls takes the driver longer to build than the executors to run.
+_PRIOR = f"CASE WHEN user = '{CLASSES}' THEN {PRIOR_CLASS}D WHEN label = '@' THEN {PRIOR_RIGHT}D ELSE {PRIOR_WRONG}D END"
+_ALL = f"CASE WHEN user = '{CLASSES}' THEN {_each('q#', ' + ')} + {PRIOR_CLASS * len(LABELS)}D ELSE t# + {PRIOR_RIGHT + PRIOR_WRONG * (len(LABELS) - 1)}D END"
+_RATES = f"""
+rates AS (
+    SELECT user, label, {_each(digamma(f"q# + {_PRIOR}") + " - " + digamma(_ALL) + " AS e#")}
+    FROM {{counts}} JOIN (SELECT user, {_each("sum(q#) AS t#")} FROM {{counts}} GROUP BY user) USING (user)
+)"""
+_WEIGHTS = f"""
+scores AS (SELECT votes, first(n) AS n, {_each("sum(e#) AS s#")} FROM {{votes}} JOIN rates USING (user, label) GROUP BY votes),
+weights AS (SELECT votes, n, {_each("exp(s# - top) AS w#")} FROM (SELECT *, greatest({_each("s#")}) AS top FROM scores)),
+posterior AS (SELECT votes, n, {_each("w# / total AS q#")} FROM (SELECT *, {_each("w#", " + ")} AS total FROM weights))"""
+#: Posteriors of every vote pattern under the annotators' counts (E step).
+POSTERIOR = f"WITH {_RATES}, {_WEIGHTS} SELECT * FROM posterior"
+_COUNTS = f"""
+SELECT v.user AS user, v.label AS label, {_each("sum(n * q#) AS q#")}
+FROM (SELECT explode(concat(votes, array(named_struct('user', '{CLASSES}', 'label', '')))) AS v, n, {_each("q#")} FROM posterior) GROUP BY v.user, v.label"""
+#: Expected counts of every annotator's labels from these posteriors (M step after an E step).
+UPDATE = f"WITH {_RATES}, {_WEIGHTS} {_COUNTS}"
+#: The same from each item's share of votes.
+FIRST = f"""
+WITH shares AS (SELECT votes, first(n) AS n, {_each("sum(CASE WHEN label = '@' THEN 1D ELSE 0D END) + 0.05D AS w#")} FROM {{votes}} GROUP BY votes),
+posterior AS (SELECT votes, n, {_each("w# / total AS q#")} FROM (SELECT *, {_each("w#", " + ")} AS total FROM shares)) {_COUNTS}"""
+MOVED = f"""SELECT max(greatest({_each(f"abs(ln(x.q# + {PRIOR_WRONG}D) - ln(y.q# + {PRIOR_WRONG}D))")})) FROM {{a}} x JOIN {{b}} y ON x.user = y.user AND x.label = y.label"""
+
+
 def consensus(labels: DataFrame, iterations: int = ITERATIONS) -> Consensus:
     """Fit the model to all votes of ``labels`` (id, file, image, line, annotation, user, auto) and label each item.
 
@@ -91,74 +127,34 @@ def consensus(labels: DataFrame, iterations: int = ITERATIONS) -> Consensus:
     """
     k_all = range(len(LABELS))
     items = cut(patterns_of(votes_of(labels)))
-    patterns = cut(items.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n")))
-    votes = patterns.select("votes", "n", F.explode("votes").alias("v")).select("votes", "n", F.col("v.user").alias("user"), F.col("v.label").alias("label"))
-    share = [(F.sum(F.when(F.col("label") == name, 1.0).otherwise(0.0)) + 0.05).alias(_q(k)) for k, name in enumerate(LABELS)]
-    q = votes.groupBy("votes").agg(F.first("n").alias("n"), *share)
-    total = sum((F.col(_q(k)) for k in k_all), F.lit(0.0))
-    q = q.select("votes", "n", *[(F.col(_q(k)) / total).alias(_q(k)) for k in k_all])
-
-    before = None
-    for _ in range(max(1, iterations)):
-        # M step: expected counts of each annotator's confusion rows, as one row per (user, label)
-        cells = q.select("n", F.explode("votes").alias("v"), *[_q(k) for k in k_all])
-        counts = cells.groupBy(F.col("v.user").alias("user"), F.col("v.label").alias("label")).agg(*[F.sum(F.col("n") * F.col(_q(k))).alias(_q(k)) for k in k_all])
-        counts = cut(counts)
-        logs = log_rates(counts)
-        classes = q.agg(*[(F.coalesce(F.sum(F.col("n") * F.col(_q(k))), F.lit(0.0)) + PRIOR_CLASS).alias(f"c{k}") for k in k_all])
-        row = classes.first()
-        pi = digammas([row[f"c{k}"] for k in k_all])
-        # E step
-        scored = votes.join(logs, ["user", "label"]).groupBy("votes").agg(F.first("n").alias("n"), *[(F.sum(f"e{k}") + pi[k]).alias(f"s{k}") for k in k_all])
-        top = F.greatest(*[F.col(f"s{k}") for k in k_all])
-        scored = scored.select("votes", "n", *[F.exp(F.col(f"s{k}") - top).alias(_q(k)) for k in k_all])
-        q = cut(scored.select("votes", "n", *[(F.col(_q(k)) / total).alias(_q(k)) for k in k_all]))
-        if before is not None:
-            change = counts.alias("a").join(before.alias("b"), ["user", "label"])
-            moved = F.greatest(*[F.abs(F.log(F.col(f"a.{_q(k)}") + PRIOR_WRONG) - F.log(F.col(f"b.{_q(k)}") + PRIOR_WRONG)) for k in k_all])
-            if (change.agg(F.max(moved)).first()[0] or 0.0) < TOLERANCE:
+    # the class shares act on an item like one more vote, of which the annotator is CLASSES
+    patterns = items.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    with_classes = F.concat(F.col("votes"), F.array(F.struct(F.lit(CLASSES).alias("user"), F.lit("").alias("label"))))
+    votes = cut(patterns.select("votes", "n", F.explode(with_classes).alias("v")).select("votes", "n", F.col("v.user").alias("user"), F.col("v.label").alias("label")))
+    spark = labels.sparkSession
+    counts = cut(spark.sql(FIRST, votes=votes))
+    before = counts
+    for i in range(1, max(1, iterations)):
+        counts = cut(spark.sql(UPDATE, votes=votes, counts=counts))
+        if i % CHECKED == 0:
+            if (spark.sql(MOVED, a=counts, b=before).first()[0] or 0.0) < TOLERANCE:
                 break
         before = counts
+    q = spark.sql(POSTERIOR, votes=votes, counts=counts)
 
     best = F.greatest(*[F.col(_q(k)) for k in k_all])
     label = F.coalesce(*[F.when(F.col(_q(k)) == best, F.lit(name)) for k, name in enumerate(LABELS)])
     answers = q.select("votes", label.alias("annotation"), best.alias("certainty"))
     answered = items.join(answers, "votes").select(*ITEM, "annotation", "certainty", F.size("votes").alias("n_votes"))
-    row_sum = F.array(*[F.col(f"c{k}") for k in k_all])
-    shares = classes.select(F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in LABELS]).alias("label"), row_sum.alias("n"))).alias("x"))
-    shares = shares.select(F.col("x.label").alias("label"), (F.col("x.n") - PRIOR_CLASS).alias("n_items"))
+    shares = counts.filter(F.col("user") == CLASSES).select(F.explode(F.array(*[F.struct(F.lit(name).alias("label"), F.col(_q(k)).alias("n_items")) for k, name in enumerate(LABELS)])).alias("x")).select("x.*")
     return Consensus(answered, reliability(counts), shares)
 
 
-def digammas(counts: list[float]) -> list[float]:
-    """Expected logs of a Dirichlet's parts, on the driver: there are as many as classes."""
-    from math import log
-
-    def one(x: float) -> float:
-        steps = sum(1 / (x + i) for i in range(6))
-        z = 1 / (x + 6) ** 2
-        return log(x + 6) - 0.5 / (x + 6) - z * (1 / 12 - z * (1 / 120 - z / 252)) - steps
-
-    return [one(c) - one(sum(counts)) for c in counts]
-
-
-def log_rates(counts: DataFrame) -> DataFrame:
-    """(user, label, e0...): the expected log probability that ``user`` says ``label`` of an item of class k."""
-    k_all = range(len(LABELS))
-    sums = counts.groupBy("user").agg(*[F.sum(_q(k)).alias(f"t{k}") for k in k_all])
-    prior_sum = PRIOR_RIGHT + PRIOR_WRONG * (len(LABELS) - 1)
-    rates = []
-    for k, name in enumerate(LABELS):
-        prior = F.when(F.col("label") == name, PRIOR_RIGHT).otherwise(PRIOR_WRONG)
-        rates.append((digamma(F.col(_q(k)) + prior) - digamma(F.col(f"t{k}") + prior_sum)).alias(f"e{k}"))
-    return counts.join(sums, "user").select("user", "label", *rates)
-
-
 def reliability(counts: DataFrame) -> DataFrame:
     """(user, n_votes, reliability, low, high) from the expected counts: the Beta posterior of giving the right label."""
     right = sum((F.when(F.col("label") == name, F.col(_q(k))).otherwise(0.0) for k, name in enumerate(LABELS)), F.lit(0.0))
     every = sum((F.col(_q(k)) for k in range(len(LABELS))), F.lit(0.0))
-    sums = counts.groupBy("user").agg(F.sum(right).alias("r"), F.sum(every).alias("n"))
+    sums = counts.filter(F.col("user") != CLASSES).groupBy("user").agg(F.sum(right).alias("r"), F.sum(every).alias("n"))
     a, b = F.col("r") + 1, F.col("n") - F.col("r") + 1
     mean, sd = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     return sums.select("user", F.round("n").cast("bigint").alias("n_votes"), mean.alias("reliability"), F.greatest(mean - 2 * sd, F.lit(0.0)).alias("low"), F.least(mean + 2 * sd, F.lit(1.0)).alias("high"))
