@@ -44,7 +44,7 @@ ROOT_PRIOR = (0.90, 0.03, 0.02, 0.03, 0.02)
 
 # Evidence of directory names, as natural logs against handwritten.
 DIR_NAMES = {
-    "vendored": (5.0, "vendor vendors vendored third_party third-party thirdparty node_modules bower_components deps _vendor extern external externals contrib site-packages"),
+    "vendored": (8.0, "vendor vendors vendored third_party third-party thirdparty node_modules bower_components deps _vendor extern external externals contrib site-packages"),
     "generated": (2.5, "gen generated autogen auto_generated codegen __generated__"),
     "minified": (1.0, "dist static assets bundle bundles min"),
     "blob": (0.5, "data fixtures blobs"),
