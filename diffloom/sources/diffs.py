@@ -145,7 +145,7 @@ def read_diffs(spark: SparkSession, path: str, fan_out: bool = False) -> DataFra
     """(file_path, bug_id, patch_id, text) of ``*.diff`` and ``*.patch`` files below ``path``; names with ``...`` are skipped.
 
     The patch is the file's name, or with ``fan_out`` its directory of two digits and the name; the bug is the directory above
-    ``patches``, or the one above the file.
+    ``patches``, or the one above the file. Bytes that are no UTF-8 become replacement characters.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{diff,patch}").load(path)
     parts = F.split("path", "/")
@@ -153,7 +153,7 @@ def read_diffs(spark: SparkSession, path: str, fan_out: bool = False) -> DataFra
     patch = F.concat(F.element_at(parts, -2), name) if fan_out else name
     up = 3 if fan_out else 2
     bug = F.when(F.element_at(parts, -up) == "patches", F.try_element_at(parts, F.lit(-up - 1))).otherwise(F.element_at(parts, -up))
-    rows = raw.filter(~F.col("path").contains("...")).select(F.col("path").alias("file_path"), bug.alias("bug_id"), patch.alias("patch_id"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    rows = raw.filter(~F.col("path").contains("...")).select(F.col("path").alias("file_path"), bug.alias("bug_id"), patch.alias("patch_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     own = F.regexp_extract("text", r"(?m)^commit ([0-9a-f]{40})\b", 1)
     return rows.withColumn("patch_id", F.coalesce(F.nullif(own, F.lit("")), "patch_id"))
 
