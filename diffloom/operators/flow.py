@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.functions.scalars import ancestors, depth, parent
+from diffloom.functions.scalars import ancestors, depth, parent, shorten
 
 
 def summed(edges: DataFrame) -> DataFrame:
@@ -50,8 +50,6 @@ def own_files(edges: DataFrame, mark: str = "__dir__") -> DataFrame:
 
 def limit_depth(counts: DataFrame, most: int, path: str = "file_name", kind: str = "kind") -> DataFrame:
     """counts with paths of more than ``most`` parts cut to ``.../**``."""
-    from diffloom.functions.scalars import shorten
-
     return counts.select(shorten(F.col(path), most).alias(path), kind, "n").groupBy(path, kind).agg(F.sum("n").alias("n"))
 
 
@@ -81,7 +79,7 @@ def reduce_tail(edges: DataFrame) -> DataFrame:
 
 def thin_out(edges: DataFrame, share: float, root: str = ".") -> DataFrame:
     """Edges of at least ``share`` of what leaves the root; what a directory's dropped sub-directories held goes to ``dir/...``."""
-    total = F.sum(F.when(F.col("src") == root, F.col("n")).otherwise(0)).over(Window.partitionBy(F.lit(1)))
+    total = edges.filter(F.col("src") == root).agg(F.sum("n")).first()[0] or 0
     marked = edges.withColumn("thin", (F.col("n") < total * share) & ~kind_of_node(F.col("dst")))
     return summed(marked.select("src", F.when(F.col("thin"), F.concat("src", F.lit("/..."))).otherwise(F.col("dst")).alias("dst"), "n"))
 

@@ -19,9 +19,9 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def write_diffs(patches: DataFrame, path: str) -> None:
-    """Texts of patches in folders by their first two digits and the rest of their id."""
+    """Texts of patches, one file each, in folders by their first two digits and the rest of their id."""
     rows = patches.select(F.substring("patch_id", 1, 2).alias("fan_out"), F.substring("patch_id", 3, 38).alias("rest"), "text")
-    rows.write.mode("overwrite").partitionBy("fan_out", "rest").option("lineSep", "").text(path)
+    rows.write.mode("overwrite").partitionBy("fan_out", "rest").text(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
