@@ -47,21 +47,28 @@ LEGAL = set("ltd inc llc gmbh co corp ag sa sarl bv plc kg oy ab limited incorpo
 LEGAL_FORMS = LEGAL - {"the", "and", "of"}
 # Nicknames and the names they stand for.
 NICKNAMES = {
-    "abby": "abigail", "al": "albert alan alexander", "alex": "alexander alexandra alexis", "andy": "andrew", "angie": "angela", "barb": "barbara", "becca": "rebecca", "becky": "rebecca",
-    "ben": "benjamin", "benny": "benjamin", "bernie": "bernard", "beth": "elizabeth", "betty": "elizabeth", "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert",
-    "cathy": "catherine katherine", "charlie": "charles", "chris": "christopher christian christine christina", "chuck": "charles", "cindy": "cynthia", "dan": "daniel", "danny": "daniel",
-    "dave": "david", "deb": "deborah", "debbie": "deborah", "dick": "richard", "don": "donald", "doug": "douglas", "drew": "andrew", "ed": "edward edwin edmund", "eddie": "edward", "eliza": "elizabeth",
-    "fran": "francesca frances francis", "frank": "francis franklin", "fred": "frederick alfred", "freddie": "frederick", "gabe": "gabriel", "gabby": "gabriela gabrielle", "gene": "eugene", "gerry": "gerald",
-    "greg": "gregory", "gus": "gustav august", "hal": "harold henry", "hank": "henry", "harry": "harold henry", "jack": "john jackson", "jake": "jacob", "jamie": "james", "jeff": "jeffrey", "jen": "jennifer",
-    "jenny": "jennifer", "jerry": "gerald jerome", "jess": "jessica", "jessie": "jessica", "jim": "james", "jimmy": "james", "joe": "joseph", "joey": "joseph", "johnny": "john", "jon": "jonathan", "josh": "joshua",
+    "abby": "abigail", "al": "albert alan alexander", "alex": "alexander alexandra alexis", "andy": "andrew", "barb": "barbara", "becca": "rebecca", "becky": "rebecca",
+    "ben": "benjamin", "benny": "benjamin", "beth": "elizabeth", "betty": "elizabeth", "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert",
+    "cathy": "catherine katherine", "charlie": "charles", "chris": "christopher christian christine christina", "chuck": "charles", "dan": "daniel", "danny": "daniel",
+    "dave": "david", "dick": "richard", "don": "donald", "doug": "douglas", "ed": "edward edwin edmund", "eddie": "edward", "eliza": "elizabeth",
+    "fran": "francesca frances francis", "frank": "francis franklin", "fred": "frederick alfred", "freddie": "frederick", "gabe": "gabriel", "gabby": "gabriela gabrielle", 
+    "greg": "gregory", "gus": "gustav august", "harry": "harold henry", "jack": "john jackson", "jake": "jacob", "jamie": "james", "jeff": "jeffrey", "jen": "jennifer",
+    "jenny": "jennifer", "jess": "jessica", "jessie": "jessica", "jim": "james", "jimmy": "james", "joe": "joseph", "joey": "joseph", "johnny": "john", "jon": "jonathan", "josh": "joshua",
     "kate": "katherine catherine", "kathy": "katherine kathleen", "katie": "katherine", "ken": "kenneth", "kim": "kimberly", "kit": "christopher katherine", "larry": "lawrence", "len": "leonard", "lenny": "leonard",
-    "leo": "leonard leopold", "les": "leslie", "liz": "elizabeth", "lizzie": "elizabeth", "lou": "louis louise", "maggie": "margaret", "mandy": "amanda", "marge": "margaret", "matt": "matthew", "max": "maximilian maxwell",
-    "meg": "margaret", "mel": "melvin melanie", "mick": "michael", "mickey": "michael", "mike": "michael", "mitch": "mitchell", "nat": "nathaniel nathan natalie", "nate": "nathaniel nathan", "ned": "edward edmund",
-    "nell": "eleanor", "nick": "nicholas", "nicky": "nicholas nicole", "pam": "pamela", "pat": "patricia patrick", "patty": "patricia", "peggy": "margaret", "pete": "peter", "phil": "philip", "rachel": "",
+    "leo": "leonard leopold", "liz": "elizabeth", "lizzie": "elizabeth", "maggie": "margaret", "marge": "margaret", "matt": "matthew", "max": "maximilian maxwell",
+    "meg": "margaret", "mel": "melvin melanie", "mick": "michael", "mike": "michael", "mitch": "mitchell", "nat": "nathaniel nathan natalie", "nate": "nathaniel nathan", "ned": "edward edmund",
+    "nell": "eleanor", "nick": "nicholas", "nicky": "nicholas nicole", "pam": "pamela", "pat": "patricia patrick", "patty": "patricia", "peggy": "margaret", "pete": "peter", "phil": "philip", 
     "ray": "raymond", "rich": "richard", "rick": "richard", "rob": "robert", "robbie": "robert", "ron": "ronald", "ronnie": "ronald", "sally": "sarah", "sam": "samuel samantha", "sandy": "sandra alexander alexandra",
-    "sanna": "susanna", "sasha": "alexander alexandra", "shelly": "michelle", "stan": "stanley", "steph": "stephanie", "steve": "stephen steven", "sue": "susan susanna", "susie": "susan susanna", "ted": "theodore edward",
+    "sanna": "susanna", "sasha": "alexander alexandra", "stan": "stanley", "steph": "stephanie", "steve": "stephen steven", "sue": "susan susanna", "susie": "susan susanna", "ted": "theodore edward",
+    "kat": "katherine", "kay": "katherine", "kitty": "katherine", "kris": "christopher christine", "topher": "christopher", "mat": "matthew", "matty": "matthew", "marty": "martin", "nic": "nicholas", "nik": "nicholas", "nico": "nicholas nicole",
+    "nora": "eleanor", "ellie": "eleanor elizabeth", "ollie": "oliver", "paddy": "patrick", "russ": "russell", "seb": "sebastian", "stef": "stefan stephanie", "stevie": "stephen steven", "tina": "christina valentina martina", "tori": "victoria",
+    "vicki": "victoria", "vikki": "victoria", "libby": "elizabeth", "bess": "elizabeth", "betsy": "elizabeth", "lisa": "elizabeth", "elsie": "elizabeth", "franny": "francesca frances", "frankie": "francesca frances francis", "chess": "francesca",
+    "cesca": "francesca", "rita": "margaret", "madge": "margaret", "mags": "margaret", "maisie": "margaret", "greta": "margaret", "peg": "margaret", "dima": "dmitri", "mitya": "dmitri", "misha": "mikhail michael", "katya": "katherine ekaterina",
+    "grisha": "gregory grigori", "uli": "ulrich", "fritz": "friedrich frederick", "freddy": "frederick", "zosia": "zofia", "alec": "alexander", "lex": "alexander alexandra", "sacha": "alexander alexandra", "xander": "alexander", "bert": "albert robert herbert",
+    "robin": "robert", "dom": "dominic", "liam": "william", "willy": "william", "bex": "rebecca", "jenna": "jennifer", "jenni": "jennifer", "jonny": "jonathan", "nathan": "jonathan nathaniel", "teddy": "theodore edward", "eddy": "edward", "ant": "anthony",
+    "tricia": "patricia", "trisha": "patricia", "zanna": "susanna", "suzy": "susan susanna", "dani": "daniel daniela", "gabi": "gabriel gabriela", "benji": "benjamin", "joss": "joseph", "timo": "timothy",
     "terry": "terence theresa", "tess": "theresa", "theo": "theodore", "tim": "timothy", "timmy": "timothy", "toby": "tobias", "tom": "thomas", "tommy": "thomas", "toni": "antonia", "tony": "anthony antonio", "trish": "patricia",
-    "val": "valentina valerie valentine", "vic": "victor victoria", "vicky": "victoria", "vince": "vincent", "wally": "walter", "walt": "walter", "wes": "wesley", "will": "william", "zach": "zachary",
+    "val": "valentina valerie valentine", "vic": "victor victoria", "vicky": "victoria", "vince": "vincent", "walt": "walter", "wes": "wesley", "will": "william", "zach": "zachary",
 }
 
 _NOISE = re.compile(r"<[^>]*>|\([^)]*\)|\[[^\]]*\]|\{[^}]*\}|[<(\[].*$|\s[@|].*$|\s[-–—]\s.*$|\bvia\s.*$")
@@ -193,6 +200,18 @@ def oriented(full: DataFrame) -> DataFrame:
     return x.select("words", "sure", "given", "surname", "n")
 
 
+#: Least letters of a given name that counts as another one cut short.
+CUT_LEAST = 3
+
+
+def abbreviations(full: DataFrame) -> DataFrame:
+    """(given, longer): given names that begin another one, which is borne by far more surnames; the longer ones in one text."""
+    borne = cut(full.groupBy("given").agg(F.countDistinct("surname").alias("c")).filter(F.length("given") >= CUT_LEAST).withColumn("head", F.substring("given", 1, CUT_LEAST)))
+    long = borne.select("head", F.col("given").alias("long"), F.col("c").alias("n"))
+    both = borne.join(long, "head").filter((F.length("long") > F.length("given")) & F.startswith("long", "given") & (F.col("c") <= RARER * F.col("n")))
+    return both.groupBy("given").agg(F.concat_ws(" ", F.sort_array(F.collect_set("long"))).alias("longer"))
+
+
 def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, center) of every node of ``nodes`` (node, weight) under ``edges`` (a, b, sim), undirected and each once.
 
@@ -280,14 +299,14 @@ def link_names(authors: DataFrame) -> DataFrame:
 
     full = oriented(parsed.filter("kind = 'full'").groupBy("words", "sure").agg(F.sum("n").alias("n")))
     nicks = F.create_map(*[F.lit(x) for k, v in NICKNAMES.items() if v for x in (k, v)])
-    full = cut(full.withColumn("formal", nicks[F.col("given")]))
+    full = cut(full.join(abbreviations(full), "given", "left").withColumn("formal", F.coalesce(nicks[F.col("given")], "longer")).drop("longer"))
     nick, plain = full.filter("formal IS NOT NULL"), full.filter("formal IS NULL")
     people = plain.groupBy("given", "surname").agg(F.sum("n").alias("n"))
     people = people.select(F.concat_ws(" ", "given", "surname").alias("node"), F.array("given", "surname").alias("words"), F.concat("given", "surname").alias("letters"), "n")
     clustered = cut(_clustered(people))
 
-    # targets: the letters of each center in full, and of its initial and surname; with the center if it is the only one
-    at = clustered.select("center").distinct().select("center", F.split("center", " ").alias("w"))
+    # targets: the letters of each name in full, and of its initial and surname; with its center if that is the only one
+    at = clustered.select("center", F.split("node", " ").alias("w"))
     ends = at.select("center", F.explode(F.array(
         F.struct(F.lit("full").alias("way"), F.concat(F.col("w")[0], F.col("w")[1]).alias("letters"), F.col("w")[0].alias("given"), F.col("w")[1].alias("surname")),
         F.struct(F.lit("short").alias("way"), F.concat(F.substring(F.col("w")[0], 1, 1), F.col("w")[1]).alias("letters"), F.substring(F.col("w")[0], 1, 1).alias("given"), F.col("w")[1].alias("surname")),
