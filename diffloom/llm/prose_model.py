@@ -181,14 +181,17 @@ class ClassModel:
 
 #: A told sentence: so many words or code at least, such a share of them function words, and at most so many bits a token.
 TOLD_WORDS, TOLD_SHARE, TOLD_BITS = 5, 0.12, 4.0
+#: A line that starts with one word and a colon, with so many words at most, is a header or trailer and counts as technical.
+HEADER_WORDS = 6
+_HEADER = re.compile(r"[A-Z1]:")
 #: No told sentence has more parts between commas than this with fewer words each than that.
 LIST_PARTS, LIST_WORDS = 5, 5
 #: A page is flagged if such a share of its letters, and so many of them, stand in sentences that the model finds abnormal ...
-HIGH_SHARE, HIGH_LETTERS = 0.6, 100
+HIGH_SHARE, HIGH_LETTERS = 0.6, 80
 #: ... or a smaller share, where these sentences are as perplexing as this ...
 ODD_SHARE, ODD_BITS = 0.4, 7.0
 #: ... or if such a share of its word trigrams is already known from the page; less does where some of it is abnormal too.
-LOW_SHARE, LOW_SHARE_ODD, LOW_ODD = 0.3, 0.22, 0.15
+LOW_SHARE, LOW_SHARE_ODD, LOW_ODD = 0.3, 0.22, 0.25
 
 SCORES = "letters double, high double, high_bits double, low double, technical double, told double"
 
@@ -210,7 +213,7 @@ def score_page(text: str, model: ClassModel) -> tuple[float, float, float, float
         if n >= TOLD_WORDS and bits <= TOLD_BITS and not listed and count_of(classes, FUNCTION) >= TOLD_SHARE * n:
             told += letters
             stream += words
-        elif technical * 12 >= n > 0 and technical or count_of(classes, "{}=") or ("|" in classes and 3 * classes.count("n") >= len(words)):
+        elif technical * 12 >= n > 0 and technical or count_of(classes, "{}=") or ("|" in classes and 3 * classes.count("n") >= len(words)) or (len(words) <= HEADER_WORDS and _HEADER.match(classes)):
             tech += letters
         else:
             high += letters
