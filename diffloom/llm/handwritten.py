@@ -56,7 +56,7 @@ MARKER, MARKER_IN_TEXT, TEMPLATE, NAMED = 6.0, 2.0, 6.0, 2.5
 DENSE, MINIFIED_NAME, DATA, NOTICE, COPIED, COPIED_FROM_VENDOR = 7.0, 2.0, 7.0, 7.0, 7.0, 2.0
 #: ... and for handwritten, where code neither repeats nor is dense nor data; third parties write such code too, but then
 #: it often bears a notice or has copies elsewhere, so that less of it counts against vendored.
-VARIED, VARIED_OWN = 4.0, 1.5
+VARIED, VARIED_OWN = 4.0, 2.2
 #: Share of lines that repeat the shape of a line up to four lines before, from which a body counts as a template.
 TEMPLATE_SHARE, TEMPLATE_LINES = 0.75, 6
 #: Share of letters in data from which a file is mainly data; share of short names, and most blanks, of dense code.
