@@ -356,7 +356,7 @@ def _attached(seekers: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def entity_rows(rows: DataFrame) -> DataFrame:
-    """``rows`` with their entity: every row of ``rows`` (author, ...) once, null where its name means nobody."""
+    """``rows`` with their entity: every row of ``rows`` (author, ...) once, null where its name means nobody. A column named entity is replaced."""
     links = link_names(rows.select("author")).withColumnRenamed("author", "_author")
     return rows.drop("entity").join(links, rows["author"] == links["_author"], "left").drop("_author")
 
