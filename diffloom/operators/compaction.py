@@ -171,8 +171,8 @@ def compact(
     """Write ``rows``, unique by ``keys``, as few files of about ``target_bytes`` each.
 
     ``rows`` is frozen first, so that planning and writing see the same rows even if the source changes or an executor
-    is lost. Raises ``RuntimeError`` if written and frozen rows, bytes or keys differ. An empty input writes one
-    empty file.
+    is lost. Raises ``RuntimeError`` if written and frozen rows, bytes or keys differ, as they do for repeated or null keys.
+    Other columns are written as they are, also one named ``group_no``. An empty input writes one empty file.
     """
     spark = rows.sparkSession
     at, path = new_path(spark, "frozen"), path or new_path(spark, "compacted")
@@ -182,15 +182,18 @@ def compact(
         plan = plan_groups(frozen, keys, size, target_bytes)
         before = _totals(frozen, keys, size)
         n_groups = max(1, -(-before[1] // int(target_bytes)))
-        grouped = frozen.join(plan.select(*keys, "group_no"), list(keys))
-        grouped.repartitionById(n_groups, F.col("group_no")).write.mode("overwrite").parquet(path)
+        group = "group_no"
+        while group in rows.columns:
+            group += "_"
+        grouped = frozen.join(plan.select(*keys, F.col("group_no").alias(group)), list(keys))
+        grouped.repartitionById(n_groups, F.col(group)).write.mode("overwrite").parquet(path)
         written = spark.read.parquet(path)
         after = _totals(written, keys, size)
         if tuple(before) != tuple(after):
             raise RuntimeError(f"{path} holds rows, bytes and keys {after}, but {before} were frozen")
     finally:
         remove(spark, at)
-    groups = written.groupBy("group_no").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("bytes"))
+    groups = written.groupBy(F.col(group).alias("group_no")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("bytes"))
     return Compacted(written.select(*rows.columns), path, groups)
 
 

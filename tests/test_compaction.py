@@ -80,6 +80,14 @@ def test_groups_hold_about_the_target(spark):
     assert names == done.groups.count()
 
 
+def test_clashing_column_and_null_key(spark):
+    rows = spark.createDataFrame([(1, 5, 9), (2, None, None)], "k int, n bigint, group_no int")
+    done = compact(rows, ("k",), "n", target_bytes=3)
+    assert sorted((r.k, r.group_no) for r in done.table.collect()) == [(1, 9), (2, None)]
+    with pytest.raises(RuntimeError):
+        compact(rows.withColumn("k", F.lit(None).cast("int")).limit(1), ("k",), "n")
+
+
 def test_repeated_keys_are_refused(spark):
     rows = spark.createDataFrame([(1, 5, "a"), (1, 5, "b")], "k int, n bigint, t string")
     with pytest.raises(RuntimeError):
