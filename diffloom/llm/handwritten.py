@@ -179,18 +179,26 @@ def evidence(files: DataFrame) -> DataFrame:
     return joined.withColumn("e3", F.col("e3") + F.coalesce("copied", F.lit(0.0))).drop("copied", "text_class")
 
 
-def _log_sum(parts: list[Column]) -> Column:
-    top = F.greatest(*parts)
-    return top + F.log(sum((F.exp(p - top) for p in parts[1:]), F.exp(parts[0] - top)))
+def _message(rows: DataFrame, logs: list[Column], weights: list[tuple], out: str) -> DataFrame:
+    """``rows`` with ``out``0 to 4: the log of the sum over k of ``weights[j][k]`` times the exponential of ``logs[k]``.
+
+    The greatest is taken off first, in a step of its own, so that nothing overflows and no expression is computed twice.
+    """
+    x, y = [f"_x{k}" for k in range(5)], [f"_y{k}" for k in range(5)]
+    rows = rows.withColumns(dict(zip(x, logs))).withColumn("_top", F.greatest(*x))
+    rows = rows.withColumns({y[k]: F.exp(F.col(x[k]) - F.col("_top")) for k in range(5)})
+    sums = {f"{out}{j}": F.col("_top") + F.log(sum((F.col(y[k]) * weights[j][k] for k in range(1, 5)), F.col(y[0]) * weights[j][0])) for j in range(5)}
+    return rows.withColumns(sums).drop(*x, *y, "_top")
 
 
-def _to_parent(names: list[str], table: tuple, out: str) -> list[Column]:
-    """Log messages of children with log evidence ``names`` to their directory, by the directory's label."""
-    return [_log_sum([F.col(names[k]) + float(np.log(table[j][k])) for k in range(5)]).alias(f"{out}{j}") for j in range(5)]
+def _to_parent(rows: DataFrame, names: list[str], table: tuple, out: str) -> DataFrame:
+    """``rows`` with the log messages of children with log evidence ``names`` to their directory, by its label."""
+    return _message(rows, [F.col(n) for n in names], list(table), out)
 
 
-def _to_child(parts: list[Column], table: tuple) -> list[Column]:
-    return [_log_sum([parts[j] + float(np.log(table[j][k])) for j in range(5)]) for k in range(5)]
+def _to_child(rows: DataFrame, parts: list[Column], table: tuple, out: str) -> DataFrame:
+    """``rows`` with the log messages of directories to a child, by the child's label."""
+    return _message(rows, parts, list(zip(*table)), out)
 
 
 def _dir_evidence(path: Column) -> list[Column]:
@@ -215,7 +223,7 @@ def propagate(files: DataFrame) -> DataFrame:
     paths = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(
         F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
     )
-    up = files.select("project", "dir", *_to_parent(e, FILE_GIVEN_DIR, "m")).groupBy("project", "dir").agg(*[F.sum(x).alias(x) for x in m])
+    up = _to_parent(files, e, FILE_GIVEN_DIR, "m").groupBy("project", "dir").agg(*[F.sum(x).alias(x) for x in m])
     nodes = up.select("project", F.explode(paths).alias("dir")).distinct()
     nodes = nodes.join(up, ["project", "dir"], "left")
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
@@ -227,8 +235,7 @@ def propagate(files: DataFrame) -> DataFrame:
         return files.select("file_id", F.lit(LABELS[0]).alias("label"), *[F.lit(0.0).alias(x) for x in b])
     levels = {deepest: nodes.filter(F.col("depth") == deepest)}
     for d in range(deepest, 0, -1):
-        sent = levels[d].select("project", F.col("parent").alias("dir"), *_to_parent(b, DIR_GIVEN_PARENT, "m"))
-        sent = sent.groupBy("project", "dir").agg(*[F.sum(x).alias(x) for x in m])
+        sent = _to_parent(levels[d], b, DIR_GIVEN_PARENT, "m").groupBy("project", F.col("parent").alias("dir")).agg(*[F.sum(x).alias(x) for x in m])
         above = nodes.filter(F.col("depth") == d - 1).join(sent, ["project", "dir"], "left")
         levels[d - 1] = cut(above.select("project", "dir", "depth", "parent", *[(F.col(b[k]) + F.coalesce(m[k], F.lit(0.0))).alias(b[k]) for k in range(5)]))
     # down: c is what a directory hears from above
@@ -236,19 +243,19 @@ def propagate(files: DataFrame) -> DataFrame:
     heard = levels[0].select("*", *[F.lit(float(np.log(ROOT_PRIOR[k]))).alias(c[k]) for k in range(5)])
     done = [heard]
     for d in range(1, deepest + 1):
-        child = levels[d].select("*", *_to_parent(b, DIR_GIVEN_PARENT, "m"))
+        child = _to_parent(levels[d], b, DIR_GIVEN_PARENT, "m")
         above = heard.select("project", F.col("dir").alias("parent"), *[(F.col(b[k]) + F.col(c[k])).alias(f"p{k}") for k in range(5)])
         joined = child.join(above, ["project", "parent"])
-        told = _to_child([F.col(f"p{j}") - F.col(m[j]) for j in range(5)], DIR_GIVEN_PARENT)
-        heard = cut(joined.select("project", "dir", "depth", "parent", *b, *[told[k].alias(c[k]) for k in range(5)]))
+        told = _to_child(joined, [F.col(f"p{j}") - F.col(m[j]) for j in range(5)], DIR_GIVEN_PARENT, "c")
+        heard = cut(told.select("project", "dir", "depth", "parent", *b, *c))
         done.append(heard)
     dirs = done[0]
     for x in done[1:]:
         dirs = dirs.unionByName(x)
     dirs = dirs.select("project", "dir", *[(F.col(b[k]) + F.col(c[k])).alias(f"p{k}") for k in range(5)])
-    leaves = files.select("file_id", "project", "dir", *e, *_to_parent(e, FILE_GIVEN_DIR, "m")).join(dirs, ["project", "dir"])
-    told = _to_child([F.col(f"p{j}") - F.col(m[j]) for j in range(5)], FILE_GIVEN_DIR)
-    beliefs = leaves.select("file_id", *[(F.col(e[k]) + told[k]).alias(b[k]) for k in range(5)])
+    leaves = _to_parent(files.select("file_id", "project", "dir", *e), e, FILE_GIVEN_DIR, "m").join(dirs, ["project", "dir"])
+    told = _to_child(leaves, [F.col(f"p{j}") - F.col(m[j]) for j in range(5)], FILE_GIVEN_DIR, "c")
+    beliefs = told.select("file_id", *[(F.col(e[k]) + F.col(c[k])).alias(b[k]) for k in range(5)])
     best = F.greatest(*b)
     label = F.coalesce(*[F.when(F.col(b[k]) == best, F.lit(LABELS[k])) for k in range(5)])
     return beliefs.select("file_id", label.alias("label"), *b)
