@@ -58,9 +58,8 @@ def users_vs_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with a column for each of four raters, by a pivot in place of outer joins."""
-    users = ["E1", "E2", "E3", "E4"]
-    return _clean(spark, sf_dir).filter(F.col("user").isin(*users)).groupBy(*ag.ITEM).pivot("user", users).agg(F.min("label"))
+    """Items with a column for each rater of the table, by a pivot in place of outer joins; labels without a user are in the column ``null``."""
+    return _clean(spark, sf_dir).groupBy(*ag.ITEM).pivot("user").agg(F.min("label"))
 
 
 def left_only_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
