@@ -12,19 +12,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from diffloom.functions.labels import ALIASES, LABELS, clean_label  # noqa: F401 - ALIASES is read from here
 from diffloom.session import cut
 
-#: The labels, in the order that breaks ties.
-LABELS = ("bugfix", "refactoring", "documentation", "test", "cosmetic", "other")
-#: Other spellings, compared without case, blanks and punctuation.
-ALIASES = {
-    "bug": "bugfix", "fix": "bugfix", "bugs": "bugfix", "fixes": "bugfix", "refactor": "refactoring", "refactored": "refactoring",
-    "doc": "documentation", "docs": "documentation", "comment": "documentation", "tests": "test", "testing": "test", "cosmetics": "cosmetic",
-    "style": "cosmetic", "others": "other",
-}
 ITEM = ("id", "file", "image", "line")
 
 #: Prior counts: of a right label, of each wrong one, and of each class.
@@ -46,19 +39,6 @@ def digamma(x: str) -> str:
     return f"(ln({y}) - 0.5D / {y} - {z} * (1D / 12 - {z} * (1D / 120 - {z} / 252)) - ({steps}))"
 
 
-def clean_label(raw: Column) -> Column:
-    """One of the labels for any spelling of it; null for null and blank text, ``other`` for any other text.
-
-    Case, blanks and punctuation don't count; a word within one edit of a label (two, if it is long) is that label.
-    """
-    word = F.regexp_replace(F.lower(raw), r"[^\p{L}]+", "")
-    exact = F.when(word.isin(*LABELS), word)
-    alias = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])[word]
-    near = F.coalesce(*[F.when(F.levenshtein(word, F.lit(k)) <= (2 if len(k) > 7 else 1), F.lit(k)) for k in LABELS])
-    blank = raw.isNull() | (F.trim(F.regexp_replace(raw, r"\s+", " ")) == "")
-    return F.when(~blank, F.coalesce(exact, alias, near, F.lit("other")))
-
-
 def votes_of(labels: DataFrame) -> DataFrame:
     """(item columns, user, label) of the labels that raters set (auto is false), each once.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffloom.functions import scalars
+from diffloom.functions.labels import clean_label
 from diffloom.operators import agreement as ag
 from diffloom.session import table
 
@@ -13,9 +14,9 @@ LABELS = ["bugfix", "refactoring", "documentation", "test", "cosmetic", "other"]
 
 
 def _clean(spark: SparkSession, sf_dir: str, auto: bool = False) -> DataFrame:
-    """Labels as spelled in :data:`LABELS`, lower case and trimmed; one row per item, user and label."""
+    """Labels in any spelling as those of :data:`LABELS`, without null and blank ones; one row per item, user and label."""
     rows = table(spark, sf_dir, "df_inter_rater").filter(F.coalesce("auto", F.lit(False)) == auto)
-    rows = rows.withColumn("label", F.lower(F.trim(F.regexp_replace("annotation", r"\s+", " ")))).filter(F.col("label").isin(*LABELS))
+    rows = rows.withColumn("label", clean_label(F.col("annotation"))).filter(F.col("label").isNotNull())
     return rows.select("id", "file", "image", "line", "user", "label", "fcat", "ds", "bug").distinct()
 
 

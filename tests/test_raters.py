@@ -21,3 +21,10 @@ def test_wide_votes_has_every_rater(spark, rated):
     df = rq.wide_votes(spark, rated([(1, "E1", "test"), (1, "U1", "bugfix"), (2, "U12", "other"), (3, None, "cosmetic"), (4, "U2", "test", True)]))
     assert df.columns == ["id", "file", "image", "line", "null", "E1", "U1", "U12"]
     assert {tuple(r)[3:] for r in df.collect()} == {(1, None, "test", "bugfix", None), (2, None, None, None, "other"), (3, "cosmetic", None, None, None)}
+
+
+def test_other_spellings_count(spark, rated):
+    folder = rated([(1, "E1", "Bug-Fix"), (1, "E2", "bug fix"), (1, "E3", "docs"), (2, "E1", "cosmetic."), (2, "E2", "tests"), (2, "E3", "refactor"), (2, "U1", "refactoring"), (3, "E1", "zzz"), (4, "E1", " "), (4, "E2", None), (1, "E1", "bug fix", True)])
+    got = {r.line: (r.label, r.votes, r.n_reviewers) for r in rq.consensus_vote(spark, folder).collect()}
+    assert got == {1: ("bugfix", 2, 3), 2: ("refactoring", 2, 4), 3: ("other", 1, 1)}
+    assert {r.user: (r.n, r.n_same) for r in rq.user_against_auto(spark, folder).collect()} == {"E1": (1, 1), "E2": (1, 1), "E3": (1, 0)}
