@@ -288,10 +288,13 @@ def diff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of programming files by what their tokens are, lexed."""
-    files = table(spark, sf_dir, "source_files").filter("purpose IN ('programming', 'test')")
-    lines = with_tokens(files).join(files.select("file_id", "language", "purpose"), "file_id")
-    return lines.groupBy("language", cl.line_type(F.col("purpose"), F.col("tokens")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Lines of all files by what their tokens are, lexed; those of documentation are documentation without the lexer."""
+    files = table(spark, sf_dir, "source_files")
+    prose = F.col("purpose").eqNullSafe("documentation")
+    lexed = with_tokens(files.filter(~prose), keys=("language", "purpose")).select("language", cl.line_type(F.col("purpose"), F.col("tokens")).alias("kind"), F.lit(1).alias("n"))
+    # line ends, and what follows the last one
+    plain = files.filter(prose).select("language", F.lit("documentation").alias("kind"), F.regexp_count("content", F.lit(r"[^\r\n]*+(?:\r\n|\r|\n)|[^\r\n]++")).alias("n")).filter("n > 0")
+    return lexed.unionByName(plain).groupBy("language", "kind").agg(F.sum("n").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 TOKENS = "array<struct<idx:int,type:array<string>,text:string>>"
+#: A frame of tokens goes to Spark once it has so many lines, so that memory doesn't grow with the batch.
+FRAME_LINES = 5000
 _LEXERS: dict[str, object] = {}
 
 
@@ -51,6 +53,9 @@ def with_tokens(files: DataFrame, name: str = "file_name", text: str = "content"
             for *key, n, t in zip(*[pdf[k] for k in keys], pdf[name], pdf[text]):
                 for i, tokens in enumerate(lex_lines(n or "", t) if isinstance(t, str) else (), 1):
                     rows.append((*key, i, [{"idx": a, "type": p, "text": v} for a, p, v in tokens]))
+                if len(rows) >= FRAME_LINES:
+                    yield pd.DataFrame(rows, columns=[*keys, "line_no", "tokens"])
+                    rows = []
             yield pd.DataFrame(rows, columns=[*keys, "line_no", "tokens"])
 
     return files.select(*keys, name, text).mapInPandas(run, f"{kinds}, line_no int, tokens {TOKENS}")
