@@ -281,8 +281,8 @@ def normalise_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the patches among the documents, parsed as unified diffs."""
-    patches = table(spark, sf_dir, "documents").filter("source = 'patches'").select(F.col("doc_id").cast("string").alias("patch_id"), "text")
+    """Sizes of the patches among the documents of any source, parsed as unified diffs; a text without a diff gives no row."""
+    patches = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("patch_id"), "text")
     lines = diff_lines(patches)
     return lines.groupBy("patch_id").agg(F.countDistinct("file_idx").alias("n_files"), F.countDistinct("file_idx", "hunk_idx").alias("n_hunks"), F.count_if(F.col("line_type") == "+").alias("n_added"), F.count_if(F.col("line_type") == "-").alias("n_removed"))
 
