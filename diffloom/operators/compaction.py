@@ -39,33 +39,35 @@ _HEX40 = re.compile(r"^[0-9a-f]{40}$")
 _NAME = re.compile(r"(?:^|/)([0-9a-f]{2})/?([0-9a-f]{38})(?=\.|$)")
 
 
+def _loaded(text: str):
+    """The value of a JSON text; null for a damaged one."""
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+
+
 def documents_in(text: str | None) -> list[tuple[dict, str]]:
     """The complete JSON objects in a file's text, each with its own text.
 
     A text is one object, an array of objects, or one object per line. Damaged JSON is no document; in a file of
-    lines the intact lines count. Nulls, empty objects and other values are none either.
+    lines the intact lines count, whatever the others hold. Nulls, empty objects and other values are none either.
     """
     text = (text or "").lstrip("\ufeff").strip()
-    if not text or text[0] not in "{[":
-        return []
-    try:
-        value = json.loads(text)
-    except (ValueError, RecursionError):
-        found = []
-        for line in text.splitlines():
-            line = line.strip()
-            if line[:1] != "{":
-                continue
-            try:
-                value = json.loads(line)
-            except (ValueError, RecursionError):
-                continue
-            if isinstance(value, dict) and value:
-                found.append((value, line))
-        return found
+    value = _loaded(text)
     if isinstance(value, dict):
         return [(value, text)] if value else []
-    return [(x, json.dumps(x, ensure_ascii=False)) for x in value if isinstance(x, dict) and x]
+    if isinstance(value, list):
+        return [(x, json.dumps(x, ensure_ascii=False)) for x in value if isinstance(x, dict) and x]
+    found = []
+    # other characters that end lines may stand in a string; a line that is damaged as a whole may have old line ends
+    for line in text.split("\n"):
+        for part in [line] if "\r" not in line or _loaded(line) is not None else line.split("\r"):
+            part = part.strip()
+            value = _loaded(part) if part[:1] == "{" else None
+            if isinstance(value, dict) and value:
+                found.append((value, part))
+    return found
 
 
 def layout_of(document: dict) -> str:

@@ -24,6 +24,15 @@ def test_documents_in_takes_complete_objects_only():
         assert documents_in(none) == []
 
 
+def test_documents_in_takes_every_intact_line():
+    for first in ("null", "3", "oops", '"a": 1}', "# note"):
+        assert [d for d, _ in documents_in(first + '\n{"b": 2}\n{"c": 3}\n')] == [{"b": 2}, {"c": 3}]
+    for mark in ("\u2028", "\u2029", "\x85"):
+        assert [d for d, _ in documents_in(f'{{"a": "x{mark}y"}}\n{{"b": 2}}')] == [{"a": f"x{mark}y"}, {"b": 2}]
+    for end in ("\r\n", "\r"):
+        assert [d for d, _ in documents_in(end.join(['{"a": 1}', '{"b":', '{"c": 3}']))] == [{"a": 1}, {"c": 3}]
+
+
 def test_ids():
     assert clean_bug("crawl/tarvik-1/annotation/x.json", None) == "tarvik-1"
     assert clean_bug(None, " Tarvik-1/ ") == "tarvik-1"
