@@ -56,14 +56,27 @@ def confusion(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def fleiss_kappa(labels: DataFrame, raters: int, keys: tuple[str, ...] = ITEM, label: str = "label") -> DataFrame:
     """One row: Fleiss' kappa over the items with exactly ``raters`` labels; null if there is none or only one label occurs."""
+    return _fleiss(_rated(labels, keys, label).filter(F.col("n") == raters), [])
+
+
+def fleiss_by_raters(labels: DataFrame, keys: tuple[str, ...] = ITEM, label: str = "label") -> DataFrame:
+    """Fleiss' kappa for each number of labels an item has, as it needs a constant one; items with one label aren't pairable."""
+    return _fleiss(_rated(labels, keys, label).filter("n > 1"), [F.col("n").cast("bigint").alias("raters")])
+
+
+def _rated(labels: DataFrame, keys: tuple[str, ...], label: str) -> DataFrame:
     cells = labels.groupBy(*keys, F.col(label).alias("label")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    items = cells.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("c2"), F.collect_list(F.struct("label", "c")).alias("cells")).filter(F.col("n") == raters)
+    return cells.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("c2"), F.collect_list(F.struct("label", "c")).alias("cells"))
+
+
+def _fleiss(items: DataFrame, by: list[Column]) -> DataFrame:
     agree = (F.col("c2") - F.col("n")) / (F.col("n") * (F.col("n") - 1))
     long = items.select(F.explode("cells").alias("x"), agree.alias("p"), F.col("n").alias("n"))
-    by_label = long.groupBy("x.label").agg(F.sum("x.c").alias("c"), F.sum(F.col("p") * F.col("x.c") / F.col("n")).alias("p"))
-    sums = by_label.agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("c2"), F.sum("p").alias("p"))
-    seen, chance = F.col("p") / (F.col("t") / raters), F.col("c2") / (F.col("t") * F.col("t"))
-    return sums.select((F.col("t") / raters).cast("bigint").alias("n_items"), seen.alias("observed"), chance.alias("expected"), F.try_divide(seen - chance, 1 - chance).alias("kappa"))
+    by_label = long.groupBy("n", "x.label").agg(F.sum("x.c").alias("c"), F.sum(F.col("p") * F.col("x.c") / F.col("n")).alias("p"))
+    sums = by_label.groupBy(*by).agg(F.max("n").alias("n"), F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("c2"), F.sum("p").alias("p"))
+    seen, chance = F.col("p") / (F.col("t") / F.col("n")), F.col("c2") / (F.col("t") * F.col("t"))
+    own = [c for c in sums.columns if c not in ("n", "t", "c2", "p")]
+    return sums.select(*own, (F.col("t") / F.col("n")).cast("bigint").alias("n_items"), seen.alias("observed"), chance.alias("expected"), F.try_divide(seen - chance, 1 - chance).alias("kappa"))
 
 
 def chi_square(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -91,7 +91,8 @@ def label_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fleiss_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ag.fleiss_kappa(_clean(spark, sf_dir), 3))
+    """Kappa for each number of labels an item has, so that every pairable item is in one row."""
+    return _rounded(ag.fleiss_by_raters(_clean(spark, sf_dir)))
 
 
 def chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:

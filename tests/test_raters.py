@@ -28,3 +28,12 @@ def test_other_spellings_count(spark, rated):
     got = {r.line: (r.label, r.votes, r.n_reviewers) for r in rq.consensus_vote(spark, folder).collect()}
     assert got == {1: ("bugfix", 2, 3), 2: ("refactoring", 2, 4), 3: ("other", 1, 1)}
     assert {r.user: (r.n, r.n_same) for r in rq.user_against_auto(spark, folder).collect()} == {"E1": (1, 1), "E2": (1, 1), "E3": (1, 0)}
+
+
+def test_fleiss_kappa_for_each_number_of_raters(spark, rated):
+    two = [(1, "a", "test"), (1, "b", "test"), (2, "a", "test"), (2, "b", "other")]
+    three = [(3, "a", "bugfix"), (3, "b", "bugfix"), (3, "c", "test"), (4, "a", "test"), (4, "b", "test"), (4, "c", "test")]
+    got = {r.raters: (r.n_items, r.observed, r.expected, r.kappa) for r in rq.fleiss_kappa(spark, rated([*two, *three, (5, "a", "test")])).collect()}
+    assert got[2] == pytest.approx((2, 0.5, (3 / 4) ** 2 + (1 / 4) ** 2, (0.5 - 0.625) / 0.375), abs=1e-6)
+    assert got[3] == pytest.approx((2, 2 / 3, (2 / 6) ** 2 + (4 / 6) ** 2, (2 / 3 - 5 / 9) / (4 / 9)), abs=1e-6)
+    assert set(got) == {2, 3}
