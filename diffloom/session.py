@@ -80,6 +80,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_sorted(df: DataFrame, *keys: str) -> DataFrame:
+    """:func:`cut` with the rows hash-partitioned by the first of ``keys`` and sorted by all, which later plans know of and needn't do again.
+
+    An adaptive plan tells nobody how its result is partitioned, so this one step isn't planned adaptively.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), keys[0]).sortWithinPartitions(*keys))
+    finally:
+        conf.set(name, before)
+
+
+def release(df: DataFrame) -> None:
+    """Delete what :func:`cut` stored for ``df``, when neither it nor a frame made of it that isn't stored itself will be read again."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRDD":
+        stored = plan.rdd().getCheckpointFile()
+        if stored.isDefined():
+            remove(df.sparkSession, stored.get())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
