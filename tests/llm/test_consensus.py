@@ -96,3 +96,44 @@ def test_krippendorff(spark):
     assert r.alpha == pytest.approx(1 - seen / expected)
     same = [("i", n, "test", u, False) for n in range(3) for u in "ab"]
     assert c.krippendorff(frame(spark, same)).first().alpha is None
+
+
+def test_beta_quantiles():
+    """Against sums over a fine grid."""
+    import numpy as np
+
+    a, b = np.array([2.3, 40.0, 1200.5, 0.3, 9.0]), np.array([1.5, 3.0, 60.0, 4.0, 9.0])
+    for p in (0.025, 0.5, 0.975):
+        for got, x, y in zip(c.beta_quantile(p, a, b), a, b):
+            grid = (np.arange(400_000) + 0.5) / 400_000
+            mass = np.exp((x - 1) * np.log(grid) + (y - 1) * np.log1p(-grid) - (math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y))) / 400_000
+            assert mass[grid <= got].sum() == pytest.approx(p, abs=2e-3)
+
+
+def test_salted_join_gives_the_same(spark):
+    rng = random.Random(5)
+    rows = [("i", n, rng.choice(c.LABELS), u, False) for n in range(50) for u in "abc"]
+    df = frame(spark, rows)
+    few, many = c.consensus(df, iterations=4), c.consensus(df, iterations=4, sent_pairs=0)
+    key = lambda r: (r.line, r.annotation, round(r.certainty, 9))
+    assert sorted(map(key, few.items.collect())) == sorted(map(key, many.items.collect()))
+
+
+def test_rows_and_intervals(spark):
+    """A rater who is sure of tests and guesses elsewhere has a high row for tests; intervals narrow with votes."""
+    rng = random.Random(2)
+    rows = []
+    for n in range(600):
+        right = c.LABELS[n % 3 + 1]
+        for u, sure in (("a", 1.0), ("b", 1.0), ("c", 1.0 if right == "test" else 0.34)):
+            rows.append(("i", n, right if rng.random() < sure else rng.choice(c.LABELS[1:4]), u, False))
+        if n < 30:
+            rows.append(("i", n, right, "rare", False))
+    done = c.consensus(frame(spark, rows))
+    assert done.converged
+    assert done.updates < c.ITERATIONS
+    row = {(r.user, r.label): r for r in done.rows.collect()}
+    assert row["c", "test"].low > 0.9 > 0.7 > row["c", "documentation"].high
+    r = {x.user: x for x in done.annotators.collect()}
+    assert r["rare"].high - r["rare"].low > 2 * (r["a"].high - r["a"].low)
+    assert all(0 <= x.low <= x.reliability <= x.high <= 1 for x in r.values())
