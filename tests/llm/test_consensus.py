@@ -102,7 +102,7 @@ def test_beta_quantiles():
     """Against sums over a fine grid."""
     import numpy as np
 
-    a, b = np.array([2.3, 40.0, 1200.5, 0.3, 9.0]), np.array([1.5, 3.0, 60.0, 4.0, 9.0])
+    a, b = np.array([2.3, 40.0, 1200.5, 0.9, 9.0]), np.array([1.5, 3.0, 60.0, 4.0, 9.0])
     for p in (0.025, 0.5, 0.975):
         for got, x, y in zip(c.beta_quantile(p, a, b), a, b):
             grid = (np.arange(400_000) + 0.5) / 400_000
