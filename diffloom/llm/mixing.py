@@ -2,9 +2,14 @@
 
 Sizes are tokens of a public tokenizer. The total is the largest that every source can give its share of, without
 taking a document more often than the source allows. Each source's documents, in a fixed scattered order, repeated as
-often as needed, form one stream that is cut into blocks of equal size. Block i of a source with weight w is released
-at slot floor((i-1)/w) and due at ceil(i/w); of the released blocks, each slot takes the one that is due first. At any
-time every source is then less than one block from its share.
+often as needed, form one stream that is cut into blocks. A source with k of the P slots of a period has its block i
+released at slot floor(i P / k) and due at ceil((i + 1) P / k); of the released blocks, each slot takes the one that is due
+first. After any slot every source is then less than one block from its share of the slots.
+
+One period is scheduled, and the schedule repeats, so that the number of slots has no bound. k is a source's weight in
+slots, rounded up; the source's blocks are smaller by as much as that rounds, so that each period gives the exact weights.
+A document belongs to the block in which its middle lies. One that is longer than a block leaves the blocks it covers
+without another document: its source pays back what it took ahead, and the slots of the other sources are as they were.
 """
 
 from __future__ import annotations
@@ -22,16 +27,17 @@ from pyspark.sql import functions as F
 
 from diffloom.session import cut
 
-#: Ranks of a public byte-level BPE, and the pattern that cuts texts before it (both fixed by the tokenizer).
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The pattern that cuts texts before a byte-level BPE (fixed by the tokenizer).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Slots of a schedule at most: a block is this part of all tokens, but at least so many times the longest document.
-SLOTS, BLOCK_DOCUMENTS = 4096, 4
+#: Tokens by which no source may stray from its share, documents longer than that set apart.
+BLOCK_TOKENS = 16_384
+#: Slots of one period, before rounding.
+PERIOD = 4096
 #: Into so many parts the documents of a source are ordered, so that no source is in one task.
 PARTS = 1024
 
 
-def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
+def count_tokens(documents: DataFrame, tokenizer: str, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, source, tokens) of every document; a null text has 0 tokens. The rank file (about 1 MB) goes to the tasks."""
     ranks_file = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -48,53 +54,67 @@ def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str
     return documents.select("doc_id", "source", "text").mapInPandas(count, f"doc_id {kind}, source string, tokens bigint")
 
 
-def pfair(weights: dict[str, float], slots: int = SLOTS) -> list[tuple[str, int]]:
-    """(source, number of its block, from 0) of each slot: earliest deadline first among released blocks.
+def pfair(slots: dict[str, int]) -> list[tuple[str, int]]:
+    """(source, number of its block, from 0) of each slot of one period: earliest deadline first among released blocks.
 
-    Weights are positive and are scaled to sum 1. A slot before any next release takes the block that is released first.
+    ``slots`` has the slots of each source, at least 1; the period is their sum. A block that every source has in time
+    always exists, as the weights sum to 1.
     """
-    total = sum(weights.values())
-    exact = {s: w / total for s, w in weights.items()}
-    release = lambda s, i: math.floor(i / exact[s] + 1e-9)
-    due = lambda s, i: math.ceil((i + 1) / exact[s] - 1e-9)
-    waiting = [(release(s, 0), due(s, 0), s, 0) for s in sorted(exact)]
+    period = sum(slots.values())
+    release = lambda s, i: i * period // slots[s]
+    due = lambda s, i: -(-(i + 1) * period // slots[s])
+    waiting = [(0, due(s, 0), s, 0) for s in sorted(slots)]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, str, int]] = []
     out = []
-    for slot in range(slots):
+    for slot in range(period):
         while waiting and waiting[0][0] <= slot:
             r, d, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (d, r, s, i))
-        if not ready:
-            r, d, s, i = heapq.heappop(waiting)
-            ready.append((d, r, s, i))
         _, _, s, i = heapq.heappop(ready)
         out.append((s, i))
         heapq.heappush(waiting, (release(s, i + 1), due(s, i + 1), s, i + 1))
     return out
 
 
+def blocks_of(weights: dict[str, float], block_tokens: float, period: int = PERIOD) -> tuple[dict[str, int], dict[str, float]]:
+    """Slots in a period, and tokens in a block, of each source.
+
+    A source's blocks are at most half of ``block_tokens``: the other half is for the document whose middle a block's end
+    doesn't reach. Blocks of a source with few slots are smaller still; what the others' roundings add is taken off.
+    """
+    slots = {s: max(1, math.ceil(w * period - 1e-9)) for s, w in weights.items()}
+    largest = block_tokens / 2 / (1 + sum(1 / k for k in slots.values()))
+    every = largest * min(slots[s] / w for s, w in weights.items())
+    return slots, {s: w * every / slots[s] for s, w in weights.items()}
+
+
 @dataclass(frozen=True)
 class Mixture:
-    """selection (doc_id, source, copy_no, tokens, slot, start), shares by source, and the slots of each block."""
+    """selection (doc_id, source, copy_no, tokens, slot, start), shares by source, and the tokens of a period and its slots."""
 
     selection: DataFrame
     shares: DataFrame
     total_tokens: float
-    block_tokens: float
+    period_tokens: float
+    period_slots: int
 
 
-SELECTION = "source string, copy_no int, tokens bigint, slot int, start bigint"
+SELECTION = "source string, copy_no int, tokens bigint, slot bigint, start bigint"
 SHARES = "source string, target_share double, max_repeats int, tokens_available bigint, tokens_taken bigint, share double, repeats double"
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, slots: int = SLOTS, tokenizer: str = TOKENIZER) -> Mixture:
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: str, total_tokens: float | None = None, block_tokens: int = BLOCK_TOKENS) -> Mixture:
     """Select and order documents so that each source of ``targets`` (source, target_share, max_repeats) gives its share.
 
     Sorted by (slot, start) the selection is the mixture. Documents of other or no sources, and those without tokens,
     take no part; a repeated doc_id is one document. A target of null or 0 share or repeats, or without documents, gives
     nothing and the other shares are scaled up; a source named twice has the sum of its shares and the smaller cap.
     ``total_tokens`` asks for less than the largest total; more isn't given. No documents give an empty selection.
+
+    After any slot, each source's tokens differ from its share of the tokens of the slots so far by less than
+    ``block_tokens``, or by half of that and half of a document where that document is longer than ``block_tokens``.
+    ``tokenizer`` is the path of a byte-level BPE's rank file.
     """
     spark = documents.sparkSession
     wanted = targets.filter("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy("source")
@@ -103,36 +123,37 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     kept = count_tokens(documents.filter(F.col("source").isin(*goals)) if goals else documents.limit(0), tokenizer).filter("tokens > 0")
     sized = cut(kept.groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("x")).select("doc_id", "x.source", "x.tokens"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
-    parts = cut(sized.groupBy("source", part.alias("part")).agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest")))
-    sums = parts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("longest").alias("longest")).collect()
+    parts = cut(sized.groupBy("source", part.alias("part")).agg(F.sum("tokens").alias("tokens")))
+    sums = parts.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()  # a row a source
     have = {r.source: int(r.tokens) for r in sums}
     kind = documents.schema["doc_id"].dataType.simpleString()
     if not have:
-        return Mixture(spark.createDataFrame([], f"doc_id {kind}, {SELECTION}"), spark.createDataFrame([], SHARES), 0.0, 0.0)
+        return Mixture(spark.createDataFrame([], f"doc_id {kind}, {SELECTION}"), spark.createDataFrame([], SHARES), 0.0, 0.0, 0)
     scale = sum(goals[s][0] for s in have)
     weights = {s: goals[s][0] / scale for s in have}
     most = min(goals[s][1] * have[s] / weights[s] for s in have)
     total = min(most, total_tokens) if total_tokens else most
-    slots = max(1, min(slots, int(total // (BLOCK_DOCUMENTS * max(r.longest for r in sums)))))
-    block = total / slots
+    slots, block = blocks_of(weights, block_tokens)
 
     bases = parts.withColumn("base", F.sum("tokens").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     inside = Window.partitionBy("source", "part").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("part", part).withColumn("before", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     placed = placed.join(bases.select("source", "part", F.coalesce("base", F.lit(0)).alias("base")), ["source", "part"])
     placed = placed.select("doc_id", "source", "tokens", (F.col("base") + F.col("before")).alias("begin"))
-    needs = spark.createDataFrame([(s, float(weights[s] * total), have[s], goals[s][1]) for s in sorted(have)], "source string, need double, have bigint, cap int")
+    needs = [(s, float(weights[s] * total), have[s], goals[s][1], block[s], slots[s]) for s in sorted(have)]
+    needs = spark.createDataFrame(needs, "source string, need double, have bigint, cap int, block double, slots bigint")
     # a copy is taken while its middle lies within what the source has to give
     last = F.ceil((F.col("need") - F.col("begin") - F.col("tokens") / 2) / F.col("have")).cast("int")
     copies = placed.join(F.broadcast(needs), "source").withColumn("n", F.greatest(F.least(last, "cap"), F.lit(0)))
-    copies = copies.filter("n > 0").select("doc_id", "source", "tokens", "begin", "have", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
+    copies = copies.filter("n > 0").select("doc_id", "source", "tokens", "begin", "have", "block", "slots", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
     copies = copies.withColumn("start", F.col("begin") + (F.col("copy_no") - 1) * F.col("have"))
-    plan = [(s, i, slot) for slot, (s, i) in enumerate(pfair(weights, slots))]
-    schedule = spark.createDataFrame(plan, "source string, block_no int, slot int")  # as many rows as slots
-    blocks = spark.createDataFrame([(s, max(i for x, i, _ in plan if x == s)) for s in sorted(weights) if any(x == s for x, _, _ in plan)], "source string, last_block int")
-    numbered = copies.join(F.broadcast(blocks), "source").withColumn("block_no", F.least(F.floor(F.col("start") / F.lit(block)).cast("int"), "last_block"))
-    selection = numbered.join(F.broadcast(schedule), ["source", "block_no"]).select("doc_id", "source", F.col("copy_no").cast("int").alias("copy_no"), "tokens", "slot", "start")
-    return Mixture(selection, shares_of(selection, goals, have, weights), total, block)
+    plan = pfair(slots)
+    schedule = spark.createDataFrame([(s, i, slot) for slot, (s, i) in enumerate(plan)], "source string, turn bigint, slot bigint")  # PERIOD rows and one a source
+    number = F.floor((F.col("start") + F.col("tokens") / 2) / F.col("block"))
+    numbered = copies.withColumn("no", number).withColumn("turn", F.pmod("no", "slots")).withColumn("period", F.floor(F.col("no") / F.col("slots")))
+    placed = numbered.join(F.broadcast(schedule), ["source", "turn"])
+    selection = placed.select("doc_id", "source", F.col("copy_no").cast("int").alias("copy_no"), "tokens", (F.col("period") * len(plan) + F.col("slot")).alias("slot"), "start")
+    return Mixture(selection, shares_of(selection, goals, have, weights), total, sum(block[s] * slots[s] for s in slots), len(plan))
 
 
 def shares_of(selection: DataFrame, goals: dict, have: dict[str, int], weights: dict[str, float]) -> DataFrame:

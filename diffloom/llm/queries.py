@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from diffloom.llm import prose_model as c8
 from diffloom.session import table
 
 
+#: The rank file of a byte-level BPE.
+TOKENIZER = os.environ.get("DIFFLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of rows whose author means the same person or organisation."""
     return c2.linked_pairs(table(spark, sf_dir, "author_stats"))
@@ -64,14 +70,18 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c6.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> c7.Mixture:
+    return c7.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), TOKENIZER)
+
+
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selected copies with their slots."""
-    return c7.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).selection
+    return _mixture(spark, sf_dir).selection
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share that each source reached."""
-    return c7.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares
+    return _mixture(spark, sf_dir).shares
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
