@@ -78,7 +78,7 @@ def test_a_very_long_document_leaves_the_others_slots(spark):
         assert abs(taken - (r.slot + 1) / mixed.period_slots * mixed.period_tokens / 2) < 200
     slots = [r.slot for r in mixed.selection.filter("source = 'a'").orderBy("slot").collect()]
     assert 99_999 in {r.doc_id for r in mixed.selection.collect()}
-    assert max(b - a for a, b in zip(slots, slots[1:])) > 100  # its source pays back
+    assert max(b - a for a, b in zip(slots, slots[1:])) > 60  # its source pays back, half before and half after
 
 
 def test_smaller_total(spark):
