@@ -53,7 +53,7 @@ CLASS = {"url": "u", "html": "h", "code": "c", "path": "p", "hex": "x", "tag": "
 FUNCTION = "".join(FUNCTION_WORDS)
 START, END = "^", "$"
 #: The classes of the model, several characters for one; the places of a content word in its run follow, the last for all later ones.
-GROUPS = (START, END, *FUNCTION, "u", "t", "k", "n", "cpx", ".?!", ",;", ":", "|>-*#/", "()[]\"'h")
+GROUPS = (START, END, *FUNCTION, "u", "tk", "n", "cpx", ".?!", ",;", ":", "|", ">-*#/", "()[]\"'h")
 RUN = 6
 #: Classes, one more for all other characters; length of an n-gram; number of n-grams there can be.
 N_CLASSES = len(GROUPS) + RUN + 1
@@ -291,7 +291,7 @@ HIGH_BITS, HIGH_SPREAD = 2.3, 8.0
 HIGH_SHARE, HIGH_LETTERS = 0.6, 80
 #: ... or if so many words have at most so many bits each, or so many classes, under the models that learn the page.
 LOW_WORDS, LOW_WORD_BITS = 12, 7.3
-LOW_CLASSES, LOW_CLASS_BITS = 40, 1.1
+LOW_CLASSES, LOW_CLASS_BITS = 40, 1.2
 #: A sentence that starts with one word and a colon, with so many words at most, is a header or trailer and counts as technical.
 HEADER_WORDS = 6
 
