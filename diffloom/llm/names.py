@@ -27,8 +27,6 @@ from diffloom.session import cut
 Q, ROWS, SIMILAR, RECALL = 2, 5, 0.55, 0.99
 #: Forms in a band from which on its pairs are made in several tasks.
 BAND_FORMS = 1000
-#: Parts into which the forms that seek a name are spread in each band.
-ATTACH_PARTS = 4
 #: Least Monge-Elkan similarity of two forms, and least similarity of each pair of words.
 MONGE_ELKAN, WORD_LEAST = 0.84, 0.7
 #: Two spellings of a word that both occur so often, and not much more rarely one than the other, are two words.
@@ -365,10 +363,12 @@ def _attached(seekers: DataFrame, targets: DataFrame) -> DataFrame:
     counts, a full one before a short one. bearers is over 1 if several centers are equally near.
     """
     have = with_bands(targets).select("band", "way", F.col("letters").alias("t"), "center", "bearers", F.col("given").alias("tg"), F.col("surname").alias("ts"))
-    want = with_bands(seekers.select("form", "way", "letters", "given", "surname"))
-    # one letters' bands are its own: a band is large only if very many names are nearly alike, and then it is split by form
-    have = have.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ATTACH_PARTS - 1))))
-    met = want.withColumn("part", F.pmod(F.xxhash64("form"), F.lit(ATTACH_PARTS)).cast("int")).join(have, ["band", "way", "part"]).drop("band", "part").distinct()
+    want = cut(with_bands(seekers.select("form", "way", "letters", "given", "surname")))
+    # many forms in one band: each part of them meets the band's targets in a task of its own
+    sizes = want.groupBy("band", "way").agg(F.ceil(F.count(F.lit(1)) / BAND_FORMS).cast("int").alias("parts"))
+    want = want.join(sizes, ["band", "way"]).withColumn("part", F.pmod(F.xxhash64("form"), "parts").cast("int"))
+    have = have.join(sizes, ["band", "way"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = want.join(have, ["band", "way", "part"]).drop("band", "part", "parts").distinct()
     words = lambda given, surname, letters: F.when(F.col("surname").isNull(), F.array(letters)).otherwise(F.array(given, surname))
     alike = monge_elkan(words("given", "surname", "letters"), words("tg", "ts", "t"))
     far = edits(F.col("letters"), F.col("t"))
