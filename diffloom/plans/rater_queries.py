@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffloom.functions import scalars
-from diffloom.functions.labels import clean_label
+from diffloom.functions.labels import ALIASES, clean_label
+from diffloom.functions.labels import LABELS as ALL_LABELS
 from diffloom.operators import agreement as ag
 from diffloom.session import table
 
-LABELS = ["bugfix", "refactoring", "documentation", "test", "cosmetic", "other"]
+
+LABELS = list(ALL_LABELS)
 
 
 def _clean(spark: SparkSession, sf_dir: str, auto: bool = False) -> DataFrame:
@@ -199,9 +201,12 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _IN = ", ".join(f"'{x}'" for x in LABELS)
+_ALIASES = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items())
+_NEAR = " ".join(f"WHEN levenshtein(word, '{k}') <= {2 if len(k) > 7 else 1} THEN '{k}'" for k in LABELS)
 BASE = f"""
-raw AS (SELECT DISTINCT id, file, image, line, "user" AS u, lower(trim(regexp_replace(annotation, '\\s+', ' ', 'g'))) AS label, fcat, ds, bug, coalesce(auto, false) AS auto FROM df_inter_rater),
-labels AS (SELECT * FROM raw WHERE NOT auto AND label IN ({_IN})), tool AS (SELECT * FROM raw WHERE auto AND label IN ({_IN}))"""
+words AS (SELECT id, file, image, line, "user" AS u, regexp_replace(lower(annotation), '[^\\p{{L}}]+', '', 'g') AS word, fcat, ds, bug, coalesce(auto, false) AS auto FROM df_inter_rater WHERE trim(regexp_replace(annotation, '\\s+', ' ', 'g')) <> ''),
+raw AS (SELECT DISTINCT id, file, image, line, u, CASE WHEN word IN ({_IN}) THEN word ELSE coalesce(CASE word {_ALIASES} END, CASE {_NEAR} END, 'other') END AS label, fcat, ds, bug, auto FROM words),
+labels AS (SELECT * FROM raw WHERE NOT auto), tool AS (SELECT * FROM raw WHERE auto)"""
 _RANK = "CASE label " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(LABELS)) + " END"
 VOTE = f"""
 cells AS (SELECT id, file, image, line, label, count(*) AS votes FROM labels GROUP BY ALL),
@@ -222,15 +227,16 @@ SQL = {
     "consensus_vote": f"WITH {BASE}, {VOTE} SELECT * FROM vote",
     "left_consensus": f'WITH {BASE}, {VOTE}, c AS (SELECT id, file, image, line, label AS consensus FROM vote WHERE agreed) SELECT u AS "user", count(*) AS n, count(*) FILTER (label = consensus) AS n_agree, count(*) FILTER (consensus IS NULL) AS n_open FROM labels LEFT JOIN c USING (id, file, image, line) GROUP BY 1',
     "users_vs_auto": f"WITH {BASE}, {VOTE}, a AS (SELECT id, file, image, line, min(label) AS auto_label FROM tool GROUP BY ALL) SELECT CASE WHEN agreed THEN votes::VARCHAR || CASE WHEN label = auto_label THEN 'U == A' ELSE 'U != A' END ELSE 'other' END AS class, count(*) AS n FROM vote JOIN a USING (id, file, image, line) GROUP BY 1",
-    "wide_votes": f"WITH {BASE} SELECT id, file, image, line, " + ", ".join(f"min(label) FILTER (u = '{u}') AS {u}" for u in ("E1", "E2", "E3", "E4")) + " FROM labels WHERE u IN ('E1', 'E2', 'E3', 'E4') GROUP BY 1, 2, 3, 4",
+    "wide_votes": f"WITH {BASE}, named AS (SELECT id, file, image, line, coalesce(u, 'null') AS u, label FROM labels) SELECT id, file, image, line, COLUMNS(* EXCLUDE (id, file, image, line)) FROM (PIVOT named ON u USING min(label) GROUP BY id, file, image, line)",
     "left_only_lines": f"WITH {BASE} SELECT DISTINCT id, file, image, line FROM tool ANTI JOIN labels USING (id, file, image, line)",
     "confusion_pairs": f"WITH {BASE}, {VOTE}, p AS (SELECT v.label AS consensus, l.label AS label, count(*) AS n FROM labels l JOIN vote v USING (id, file, image, line) GROUP BY 1, 2) SELECT consensus, label, n, round(n / sum(n) OVER (PARTITION BY consensus), 6)::DOUBLE AS share FROM p",
     "share_by_group": f"WITH {BASE}, p AS (SELECT fcat, label, count(*) AS n FROM labels GROUP BY 1, 2) SELECT fcat, label, n, round(n / sum(n) OVER (PARTITION BY fcat), 6)::DOUBLE AS share FROM p",
     "pivot_share": f"WITH {BASE}, s AS ({_SHARES.format('ds')}) SELECT ds, " + ", ".join(f"round({x}, 6)::DOUBLE AS {x}" for x in LABELS) + " FROM s",
     "label_structure": f"WITH {BASE}, s AS ({_SHARES.format('bug, ds')}) SELECT ds, count(*) AS bugs, " + ", ".join(f"count(*) FILTER ({a} >= {b} AND {b} >= {c}) AS {a[0]}{b[0]}{c[0]}" for a, b, c in _ORDERS) + ", count(*) FILTER (test > 0 AND cosmetic > 0) AS with_tests_and_style FROM s GROUP BY 1",
-    "fleiss_kappa": f"""WITH {BASE}, cells AS (SELECT id, file, image, line, label, count(*)::DOUBLE AS c FROM labels GROUP BY ALL), i AS (SELECT id, file, image, line, sum(c) AS n, sum(c * c) AS c2 FROM cells GROUP BY ALL HAVING sum(c) = 3),
-        p AS (SELECT count(*) AS k, avg((c2 - n) / (n * (n - 1))) AS seen FROM i), q AS (SELECT sum(pow(c / (3.0 * k), 2)) AS chance FROM (SELECT label, sum(c) AS c FROM cells JOIN i USING (id, file, image, line) GROUP BY 1), p)
-        SELECT k AS n_items, round(seen, 6) AS observed, round(chance, 6) AS expected, round((seen - chance) / nullif(1 - chance, 0), 6) AS kappa FROM p, q""",
+    "fleiss_kappa": f"""WITH {BASE}, cells AS (SELECT id, file, image, line, label, count(*)::DOUBLE AS c FROM labels GROUP BY ALL), i AS (SELECT id, file, image, line, sum(c)::BIGINT AS n, sum(c * c) AS c2 FROM cells GROUP BY ALL HAVING sum(c) > 1),
+        p AS (SELECT n, count(*) AS k, avg((c2 - n) / (n * (n - 1))) AS seen FROM i GROUP BY n), j AS (SELECT i.n, label, sum(c) AS c FROM cells JOIN i ON cells.id IS NOT DISTINCT FROM i.id AND cells.file IS NOT DISTINCT FROM i.file AND cells.image IS NOT DISTINCT FROM i.image AND cells.line IS NOT DISTINCT FROM i.line GROUP BY 1, 2),
+        q AS (SELECT n, sum(pow(c / (n * k), 2)) AS chance FROM j JOIN p USING (n) GROUP BY 1)
+        SELECT n AS raters, k AS n_items, round(seen, 6) AS observed, round(chance, 6) AS expected, round((seen - chance) / nullif(1 - chance, 0), 6) AS kappa FROM p JOIN q USING (n)""",
     "chi_square": f"""WITH {BASE}, o AS (SELECT fcat AS a, label AS b, count(*)::DOUBLE AS o FROM labels WHERE fcat IS NOT NULL GROUP BY 1, 2), a AS (SELECT a, sum(o) AS ra FROM o GROUP BY 1), b AS (SELECT b, sum(o) AS rb FROM o GROUP BY 1), n AS (SELECT sum(o) AS n FROM o)
         SELECT round(sum(pow(coalesce(o, 0) - ra * rb / n, 2) / (ra * rb / n)), 6) AS statistic, (count(DISTINCT a.a) - 1) * (count(DISTINCT b.b) - 1) AS dof, any_value(n)::BIGINT AS n FROM a, b, n LEFT JOIN o ON o.a = a.a AND o.b = b.b""",
     "count_of_counts": f"WITH {BASE} SELECT size, count(*) AS n FROM (SELECT count(*) AS size FROM labels GROUP BY id, file, image, line) GROUP BY 1",
