@@ -26,62 +26,99 @@ def split_directories(counts: DataFrame, path: str = "file_name", kind: str = "k
     return summed(links.unionByName(counts.select(F.col(path).alias("src"), F.col(kind).alias("dst"), "n")))
 
 
-def files_to_directories(counts: DataFrame, path: str = "file_name", kind: str = "kind") -> DataFrame:
-    """Edges from ``dir/*`` (``*`` at the top) to kinds."""
-    holder = F.when(F.col(path).contains("/"), F.concat(parent(F.col(path)), F.lit("/*"))).otherwise("*")
-    return summed(counts.select(holder.alias("src"), F.col(kind).alias("dst"), "n"))
-
-
 def kind_of_node(node: Column) -> Column:
     """Whether a node is a kind of line, which starts with ``type.`` or stands in brackets."""
     return node.rlike(r"^(type\.|\[)")
 
 
-def own_files(edges: DataFrame, mark: str = "__dir__") -> DataFrame:
-    """Edges in which a directory with both sub-directories and kinds sends its kinds through a node of its own, ``dir/__dir__``."""
+def files_to_directories(edges: DataFrame) -> DataFrame:
+    """Edges in which every file, a node with edges to kinds, is the node ``dir/*`` of its directory (``./*`` at the top)."""
+    files = edges.filter(kind_of_node(F.col("dst"))).select(F.col("src").alias("node")).distinct().withColumn("holder", F.concat(parent(F.col("node")), F.lit("/*")))
+    named = lambda side: files.select(F.col("node").alias(side), F.col("holder").alias(f"{side}_holder"))
+    joined = edges.join(named("src"), "src", "left").join(named("dst"), "dst", "left")
+    return summed(joined.select(F.coalesce("src_holder", "src").alias("src"), F.coalesce("dst_holder", "dst").alias("dst"), "n"))
+
+
+def own_node(directory: Column) -> Column:
+    """The node of a directory's own files."""
+    return F.concat(F.lit("__"), directory, F.lit("__"))
+
+
+def own_files(edges: DataFrame) -> DataFrame:
+    """Edges in which a directory with both sub-directories and kinds sends its kinds through a node of its own, ``__dir__``."""
     dirs = edges.filter(~kind_of_node(F.col("dst"))).select("src").intersect(edges.filter(kind_of_node(F.col("dst"))).select("src"))
     marked = edges.join(dirs.withColumn("_both", F.lit(True)), "src", "left")
-    own = F.concat("src", F.lit(f"/{mark}"))
     moved = F.coalesce("_both", F.lit(False)) & kind_of_node(F.col("dst"))
-    to_kind = marked.select(F.when(moved, own).otherwise(F.col("src")).alias("src"), "dst", "n")
-    through = marked.filter(moved).select("src", own.alias("dst"), "n")
-    return summed(to_kind.unionByName(through))
+    links = F.when(moved, F.array(F.struct("src", own_node(F.col("src")).alias("dst")), F.struct(own_node(F.col("src")).alias("src"), "dst"))).otherwise(F.array(F.struct("src", "dst")))
+    return summed(marked.select(F.explode(links).alias("e"), "n").select("e.src", "e.dst", "n"))
+
+
+def node_depth(path: Column) -> Column:
+    """Parts of a node's path, of which a last ``*`` is none."""
+    return depth(path) - F.endswith(path, F.lit("/*")).cast("int")
 
 
-def limit_depth(counts: DataFrame, most: int, path: str = "file_name", kind: str = "kind") -> DataFrame:
-    """counts with paths of more than ``most`` parts cut to ``.../**``."""
-    return counts.select(shorten(F.col(path), most).alias(path), kind, "n").groupBy(path, kind).agg(F.sum("n").alias("n"))
+def limit_depth(edges: DataFrame, most: int) -> DataFrame:
+    """Edges between nodes of at most ``most`` parts: deeper nodes become ``.../**`` of their first parts, links among them vanish."""
+    short = lambda c: F.when(F.size(F.split(c, "/")) > most, F.concat(F.array_join(F.slice(F.split(c, "/"), 1, most), "/"), F.lit("/**"))).otherwise(F.col(c))
+    deep = lambda c: node_depth(F.col(c)) > most
+    to_kind = kind_of_node(F.col("dst"))
+    kept = edges.filter(to_kind | ~(deep("src") & deep("dst")))
+    return summed(kept.select(F.when(to_kind & deep("src"), short("src")).otherwise(F.col("src")).alias("src"), F.when(~to_kind & deep("dst"), short("dst")).otherwise(F.col("dst")).alias("dst"), "n"))
 
 
-def limit_width(counts: DataFrame, least: float, path: str = "file_name", kind: str = "kind") -> DataFrame:
-    """counts in which every file lies in its deepest directory that holds ``least`` lines, as ``dir/**``; a file that itself does stays.
+def limit_width(edges: DataFrame, most: float) -> DataFrame:
+    """Edges without the nodes into which ``most`` lines or fewer flow: what they send to kinds goes through ``parent/**``.
 
-    Directories are compared by whole parts, so ``a/b`` doesn't hold ``a/bc``.
+    Of thin nodes below each other the topmost counts. Paths are compared by whole parts, so ``a/b`` doesn't hold ``a/bc``.
     """
-    links = counts.select(F.col(path).alias("file"), F.explode(ancestors(F.col(path))).alias("e"), "n")
-    sizes = links.groupBy(F.col("e.child").alias("dir")).agg(F.sum("n").alias("size")).filter(F.col("size") >= least)
-    places = links.select("file", F.col("e.child").alias("dir")).distinct().join(sizes, "dir").groupBy("file").agg(F.max_by("dir", F.length("dir")).alias("dir"))
-    joined = counts.withColumnRenamed(path, "file").join(places, "file", "left")
-    name = F.when(F.col("dir") == F.col("file"), F.col("file")).when(F.col("dir").isNull(), "**").otherwise(F.concat("dir", F.lit("/**")))
-    return joined.groupBy(name.alias(path), kind).agg(F.sum("n").alias("n"))
+    to_kind = kind_of_node(F.col("dst"))
+    thin = edges.filter(~to_kind & (F.col("n") <= most)).select(F.col("dst").alias("thin")).distinct()
+    nodes = edges.select("src").unionByName(edges.filter(~to_kind).select(F.col("dst").alias("src"))).distinct().filter("src <> '.'")
+    above = nodes.select("src", F.explode(ancestors(F.col("src"))).alias("e")).select(F.col("src").alias("node"), F.col("e.child").alias("thin"))
+    top = above.join(thin, "thin").groupBy("node").agg(F.min_by("thin", F.length("thin")).alias("thin"))
+    of_dst = top.select(F.col("node").alias("dst"), F.lit(True).alias("dst_thin"))
+    joined = edges.join(of_dst, "dst", "left").filter("dst_thin IS NULL").join(top.withColumnRenamed("node", "src"), "src", "left")
+    over = F.concat(parent(F.col("thin")), F.lit("/**"))
+    links = F.when(to_kind & F.col("thin").isNotNull(), F.array(F.struct(parent(F.col("thin")).alias("src"), over.alias("dst")), F.struct(over.alias("src"), "dst"))).otherwise(F.array(F.struct("src", "dst")))
+    return summed(joined.select(F.explode(links).alias("e"), "n").select("e.src", "e.dst", "n"))
+
+
+def contract(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges without the nodes of ``gone`` (node, into), each into its parent: what they send goes out from there."""
+    left = edges.join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
+    moved = left.join(gone.select(F.col("node").alias("src"), "into"), "src", "left")
+    return summed(moved.select(F.coalesce("into", "src").alias("src"), "dst", "n"))
+
+
+def _links(column: str) -> Column:
+    return F.length(column) - F.length(F.replace(F.col(column), F.lit("/"), F.lit("")))
 
 
 def reduce_tail(edges: DataFrame) -> DataFrame:
-    """Edges without the deepest level of directories: what its nodes send goes out from their parents; unchanged at depth 1."""
+    """Edges without the deepest level of directories, and without own nodes of the directories above them; their kinds go out from there.
+
+    Unchanged if a directory of that level sends to other than kinds, or if no directory has another in its path.
+    """
     dirs = edges.filter(~kind_of_node(F.col("dst")))
-    deepest = dirs.agg(F.max(depth(F.col("dst")))).first()[0]
-    if not deepest or deepest < 2:
-        return edges
-    last = (depth(F.col("src")) == deepest) & kind_of_node(F.col("dst"))
-    kept = edges.filter(kind_of_node(F.col("dst")) | (depth(F.col("dst")) < deepest))
-    return summed(kept.select(F.when(last, parent(F.col("src"))).otherwise(F.col("src")).alias("src"), "dst", "n"))
+    level = edges.select(F.max(_links("src"))).scalar()
+    inner = dirs.select(F.coalesce(F.max(_links("src")), F.lit(-1))).scalar()
+    last = dirs.filter((level > 0) & (inner < level) & (_links("dst") == level)).select(F.col("dst").alias("node"), F.col("src").alias("into"))
+    own = dirs.filter(F.col("dst") == own_node(F.col("src"))).join(last.select(F.col("into").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("into"))
+    return contract(edges, last.unionByName(own).distinct())
 
 
 def thin_out(edges: DataFrame, share: float, root: str = ".") -> DataFrame:
-    """Edges of at least ``share`` of what leaves the root; what a directory's dropped sub-directories held goes to ``dir/...``."""
-    total = edges.filter(F.col("src") == root).agg(F.sum("n")).first()[0] or 0
-    marked = edges.withColumn("thin", (F.col("n") < total * share) & ~kind_of_node(F.col("dst")))
-    return summed(marked.select("src", F.when(F.col("thin"), F.concat("src", F.lit("/..."))).otherwise(F.col("dst")).alias("dst"), "n"))
+    """Edges without directories of less than ``share`` of what leaves the root: their kinds go out from their parents.
+
+    A directory goes if an edge from it is as thin as that, all its lines together are, it has no sub-directories, it isn't a
+    node of own files, and it doesn't lie at the root. So what flows into each directory that stays also leaves it.
+    """
+    least = edges.filter(F.col("src") == root).select(F.coalesce(F.sum("n"), F.lit(0)) * share).scalar()
+    leaves = edges.groupBy("src").agg(F.min("n").alias("thinnest"), F.sum("n").alias("every"), F.bool_and(kind_of_node(F.col("dst"))).alias("leaf"))
+    thin = leaves.filter(F.col("leaf") & (F.col("thinnest") < least) & (F.col("every") < least)).select(F.col("src").alias("dst"))
+    inner = edges.filter((F.col("src") != root) & (F.col("dst") != own_node(F.col("src"))))
+    return contract(edges, inner.join(thin, "dst").select(F.col("dst").alias("node"), F.col("src").alias("into")))
 
 
 def kind_totals(edges: DataFrame) -> DataFrame:
@@ -89,9 +126,21 @@ def kind_totals(edges: DataFrame) -> DataFrame:
     return edges.filter(kind_of_node(F.col("dst"))).groupBy("dst").agg(F.sum("n").alias("n"))
 
 
-def process(counts: DataFrame, share: float = 0.01) -> DataFrame:
-    """Roll-up, own files, tail and thin edges, in this order."""
-    return thin_out(reduce_tail(own_files(directory_rollup(counts))), share)
+def process(counts: DataFrame, share: float = 0.0, most_files: int | None = None) -> DataFrame:
+    """Roll-up with own files, thinned out if ``share`` lies between 0 and 1; of the ``most_files`` files with the most lines, if given.
+
+    Files with as many lines are taken by name.
+    """
+    if most_files is not None:
+        top = counts.groupBy("file_name").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "file_name").limit(most_files)
+        counts = counts.join(top.select("file_name"), "file_name", "left_semi")
+    edges = own_files(directory_rollup(counts))
+    return thin_out(edges, share) if 0 < share < 1 else edges
+
+
+def process_patches(counts: DataFrame, most_parts: int, most_thin: float) -> DataFrame:
+    """Directories of split paths, limited in depth and then in width: the flow of a choice of patches, such as an author's."""
+    return limit_width(limit_depth(files_to_directories(split_directories(counts)), most_parts), most_thin)
 
 
 def labels(edges: DataFrame, root: str) -> DataFrame:

@@ -105,7 +105,7 @@ def split_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_to_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fl.files_to_directories(_kind_counts(spark, sf_dir))
+    return fl.files_to_directories(fl.split_directories(_kind_counts(spark, sf_dir)))
 
 
 def own_file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,11 +113,11 @@ def own_file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sankey_depth_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fl.limit_depth(_kind_counts(spark, sf_dir), 2)
+    return fl.limit_depth(file_to_dir(spark, sf_dir), 1)
 
 
 def sankey_width_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fl.limit_width(_kind_counts(spark, sf_dir), 20)
+    return fl.limit_width(file_to_dir(spark, sf_dir), 20)
 
 
 def sankey_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,11 +125,21 @@ def sankey_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sankey_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fl.thin_out(fl.directory_rollup(_kind_counts(spark, sf_dir)), 0.02)
+    return fl.thin_out(own_file_nodes(spark, sf_dir), 0.02)
 
 
 def sankey_process(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fl.labels(fl.process(_kind_counts(spark, sf_dir)), "root")
+    return fl.labels(fl.process(_kind_counts(spark, sf_dir), share=0.01, most_files=200), "root")
+
+
+def sankey_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow of the patches of the author who has the most, of equal ones the first by name; each patch counts once."""
+    timeline = rs.plain(table(spark, sf_dir, "timeline")).filter("author_name IS NOT NULL").select("bug_id", "patch_id", "author_name").distinct()
+    most = timeline.groupBy("author_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "author_name").limit(1)
+    patches = timeline.join(F.broadcast(most), "author_name", "left_semi").select("bug_id", "patch_id").distinct()
+    lines = ga.changed_lines(_documents(spark, sf_dir)).filter("line_type IS NOT NULL AND file_name <> ''").join(patches, ["bug_id", "patch_id"], "left_semi")
+    counts = lines.groupBy("file_name", F.concat(F.lit("type."), "line_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return fl.process_patches(counts, 2, 5)
 
 
 def sankey_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +309,7 @@ def lex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     purpose_counter, purpose_per_file, lines_stats, lines_stats_override, timeline_counts, timeline_wide, added_lines, totals_positive, commit_columns, describe_per_patch, file_linetype_counts, top_changed_files,
-    author_line_counts, selected_files, dir_rollup, split_dirs, file_to_dir, own_file_nodes, sankey_depth_limit, sankey_width_limit, sankey_tail, sankey_thin, sankey_process, sankey_mermaid, line_type_totals, dir_intersect, ancestors,
+    author_line_counts, selected_files, dir_rollup, split_dirs, file_to_dir, own_file_nodes, sankey_depth_limit, sankey_width_limit, sankey_tail, sankey_thin, sankey_process, sankey_author, sankey_mermaid, line_type_totals, dir_intersect, ancestors,
     path_functions, classify_paths, classified_against_given, missing_keys, without_dev_null, nunique_keys, line_flags, line_callbacks, line_kind, chunk_metrics, hunk_file_lines, hunk_coordinates, file_spreads, extents, front_fill,
     hunk_line_totals, line_survival, clean_text, json_explode, format_version, skipped_names, normalise_layouts, diff_documents, lex_lines,
 )}
@@ -333,19 +343,47 @@ ROLLUP = f"""per_dir AS (SELECT {PARENT.format('file_name')} AS dir, kind, sum(n
 rollup_edges AS (SELECT src, dst, sum(n)::BIGINT AS n FROM (SELECT dir AS src, kind AS dst, n FROM per_dir UNION ALL SELECT e.parent, e.child, n FROM links) GROUP BY 1, 2)"""
 BOTH = "both_dirs AS (SELECT src FROM {0} WHERE dst NOT LIKE 'type.%' INTERSECT SELECT src FROM {0} WHERE dst LIKE 'type.%')"
 OWN = f"""{BOTH.format('rollup_edges')}, own AS (SELECT src, dst, sum(n)::BIGINT AS n FROM (
-    SELECT CASE WHEN dst LIKE 'type.%' AND src IN (FROM both_dirs) THEN src || '/__dir__' ELSE src END AS src, dst, n FROM rollup_edges UNION ALL SELECT src, src || '/__dir__', n FROM rollup_edges WHERE dst LIKE 'type.%' AND src IN (FROM both_dirs)) GROUP BY 1, 2)"""
+    SELECT CASE WHEN dst LIKE 'type.%' AND src IN (FROM both_dirs) THEN '__' || src || '__' ELSE src END AS src, dst, n FROM rollup_edges UNION ALL SELECT src, '__' || src || '__', n FROM rollup_edges WHERE dst LIKE 'type.%' AND src IN (FROM both_dirs)) GROUP BY 1, 2)"""
 DEPTH = "(CASE WHEN {0} IN ('', '.') THEN 0 ELSE len(string_split({0}, '/')) END)"
 
 
+SPLIT = f"split_links AS (SELECT unnest({_ancestors_sql('file_name')}) AS e, n FROM kinds), split_edges AS (SELECT src, dst, sum(n)::BIGINT AS n FROM (SELECT e.parent AS src, e.child AS dst, n FROM split_links UNION ALL SELECT file_name, kind, n FROM kinds) GROUP BY 1, 2)"
+HELD = f"""held AS (SELECT DISTINCT src AS node, {PARENT.format('src')} || '/*' AS holder FROM split_edges WHERE dst LIKE 'type.%'),
+holders AS (SELECT coalesce(a.holder, src) AS src, coalesce(b.holder, dst) AS dst, sum(n)::BIGINT AS n FROM split_edges LEFT JOIN held a ON a.node = src LEFT JOIN held b ON b.node = dst GROUP BY 1, 2)"""
+
+
+def _depth_sql(edges: str, most: int) -> str:
+    parts = lambda c: f"(CASE WHEN {c} = '.' THEN 0 WHEN {c} LIKE '%/*' THEN len(string_split({c}, '/')) - 1 ELSE len(string_split({c}, '/')) END)"
+    cut = lambda c: f"array_to_string(string_split({c}, '/')[1:{most}], '/') || '/**'"
+    return f"""shallow AS (SELECT src, dst, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN {parts('src')} <= {most} THEN src ELSE {cut('src')} END AS src, dst, n FROM {edges} WHERE dst LIKE 'type.%'
+        UNION ALL SELECT src, CASE WHEN {parts('dst')} <= {most} THEN dst ELSE {cut('dst')} END, n FROM {edges} WHERE dst NOT LIKE 'type.%' AND {parts('src')} <= {most}) GROUP BY 1, 2)"""
+
+
+def _width_sql(edges: str, most: int) -> str:
+    below = "({0} = d OR starts_with({0}, d || '/'))"
+    return f"""slim AS (SELECT DISTINCT dst AS d FROM {edges} WHERE dst NOT LIKE 'type.%' AND n <= {most}),
+    topmost AS (SELECT d FROM slim WHERE NOT EXISTS (SELECT 1 FROM slim o WHERE starts_with(slim.d, o.d || '/'))),
+    wide AS (SELECT src, dst, sum(n)::BIGINT AS n FROM (
+        SELECT src, dst, n FROM {edges} WHERE NOT EXISTS (SELECT 1 FROM topmost WHERE {below.format('dst')} OR {below.format('src')})
+        UNION ALL SELECT {PARENT.format('d')}, {PARENT.format('d')} || '/**', n FROM {edges} JOIN topmost ON {below.format('src')} WHERE dst LIKE 'type.%'
+        UNION ALL SELECT {PARENT.format('d')} || '/**', dst, n FROM {edges} JOIN topmost ON {below.format('src')} WHERE dst LIKE 'type.%') GROUP BY 1, 2)"""
+
+
 def _tail_sql(edges: str) -> str:
-    d = DEPTH.format("dst")
-    return f"""deep AS (SELECT coalesce(max({d}), 0) AS m FROM {edges} WHERE dst NOT LIKE 'type.%'), tail AS (SELECT src, dst, sum(n)::BIGINT AS n FROM (
-        SELECT CASE WHEN m >= 2 AND dst LIKE 'type.%' AND {DEPTH.format('src')} = m THEN {PARENT.format('src')} ELSE src END AS src, dst, n FROM {edges}, deep WHERE m < 2 OR dst LIKE 'type.%' OR {d} < m) GROUP BY 1, 2)"""
+    level = "len({0}) - len(replace({0}, '/', ''))"
+    return f"""deep AS (SELECT max({level.format('src')}) AS m FROM {edges}), final AS (SELECT bool_and(dst LIKE 'type.%') AS ok FROM {edges}, deep WHERE {level.format('src')} = m),
+    last_dirs AS (SELECT DISTINCT dst AS node, src AS into_dir FROM {edges}, deep, final WHERE ok AND m > 0 AND dst NOT LIKE 'type.%' AND {level.format('dst')} = m),
+    tail AS (SELECT src, dst, sum(n)::BIGINT AS n FROM (SELECT coalesce(into_dir, src) AS src, dst, n FROM {edges} LEFT JOIN last_dirs ON node = src WHERE dst NOT IN (SELECT node FROM last_dirs)) GROUP BY 1, 2)"""
 
 
 def _thin_sql(edges: str, share: float) -> str:
-    return f"""total AS (SELECT sum(n) AS t FROM {edges} WHERE src = '.'), thin AS (SELECT src, dst, sum(n)::BIGINT AS n FROM (
-        SELECT src, CASE WHEN n < t * {share} AND dst NOT LIKE 'type.%' THEN src || '/...' ELSE dst END AS dst, n FROM {edges}, total) GROUP BY 1, 2)"""
+    return f"""total AS (SELECT sum(n) * {share} AS least FROM {edges} WHERE src = '.'),
+    slight AS (SELECT DISTINCT e.dst AS node, e.src AS into_dir FROM {edges} e, total WHERE e.src <> '.' AND e.dst <> '__' || e.src || '__' AND EXISTS (SELECT 1 FROM {edges} o WHERE o.src = e.dst AND o.n < least)
+        AND NOT EXISTS (SELECT 1 FROM {edges} o WHERE o.src = e.dst AND o.dst NOT LIKE 'type.%') AND (SELECT sum(n) FROM {edges} o WHERE o.src = e.dst) < least),
+    thin AS (SELECT src, dst, sum(n)::BIGINT AS n FROM (
+        SELECT src, dst, n FROM {edges} WHERE src NOT IN (SELECT node FROM slight) AND dst NOT IN (SELECT node FROM slight)
+        UNION ALL SELECT into_dir, dst, n FROM {edges} JOIN slight ON src = node) GROUP BY 1, 2)"""
 
 
 def _label_sql(c: str) -> str:
@@ -402,15 +440,17 @@ SQL = {
     "author_line_counts": f"WITH {DOCS}, a AS (SELECT bug_id, patch_id, min(\"author.name\") AS author FROM timeline GROUP BY 1, 2) SELECT author, line_type, count(*) AS n FROM lines JOIN a USING (bug_id, patch_id) WHERE line_type IS NOT NULL GROUP BY 1, 2",
     "selected_files": f"WITH {DOCS}, {KINDS} SELECT * FROM kinds WHERE file_name IN (SELECT file_name FROM kinds GROUP BY 1 HAVING sum(n) >= 10)",
     "dir_rollup": f"WITH {DOCS}, {KINDS}, {ROLLUP} SELECT * FROM rollup_edges",
-    "split_dirs": f"WITH {DOCS}, {KINDS}, links AS (SELECT unnest({_ancestors_sql('file_name')}) AS e, n FROM kinds) SELECT src, dst, sum(n)::BIGINT AS n FROM (SELECT e.parent AS src, e.child AS dst, n FROM links UNION ALL SELECT file_name, kind, n FROM kinds) GROUP BY 1, 2",
-    "file_to_dir": f"WITH {DOCS}, {KINDS} SELECT CASE WHEN contains(file_name, '/') THEN {PARENT.format('file_name')} || '/*' ELSE '*' END AS src, kind AS dst, sum(n)::BIGINT AS n FROM kinds GROUP BY 1, 2",
+    "split_dirs": f"WITH {DOCS}, {KINDS}, {SPLIT} SELECT * FROM split_edges",
+    "file_to_dir": f"WITH {DOCS}, {KINDS}, {SPLIT}, {HELD} SELECT * FROM holders",
     "own_file_nodes": f"WITH {DOCS}, {KINDS}, {ROLLUP}, {OWN} SELECT * FROM own",
-    "sankey_depth_limit": f"WITH {DOCS}, {KINDS} SELECT CASE WHEN {DEPTH.format('file_name')} > 2 THEN array_to_string(string_split(file_name, '/')[1:2], '/') || '/**' ELSE file_name END AS file_name, kind, sum(n)::BIGINT AS n FROM kinds GROUP BY 1, 2",
-    "sankey_width_limit": f"""WITH {DOCS}, {KINDS}, links AS (SELECT file_name, unnest({_ancestors_sql('file_name')}) AS e, n FROM kinds), sizes AS (SELECT e.child AS dir, sum(n) AS size FROM links GROUP BY 1 HAVING sum(n) >= 20),
-        places AS (SELECT file_name, arg_max(dir, length(dir)) AS dir FROM (SELECT DISTINCT file_name, e.child AS dir FROM links) SEMI JOIN sizes USING (dir) GROUP BY 1)
-        SELECT CASE WHEN dir = k.file_name THEN k.file_name WHEN dir IS NULL THEN '**' ELSE dir || '/**' END AS file_name, kind, sum(n)::BIGINT AS n FROM kinds k LEFT JOIN places p ON k.file_name = p.file_name GROUP BY 1, 2""",
-    "sankey_tail": f"WITH {DOCS}, {KINDS}, {ROLLUP}, {_tail_sql('rollup_edges')} SELECT * FROM tail", "sankey_thin": f"WITH {DOCS}, {KINDS}, {ROLLUP}, {_thin_sql('rollup_edges', 0.02)} SELECT * FROM thin",
-    "sankey_process": f"WITH {DOCS}, {KINDS}, {ROLLUP}, {OWN}, {_tail_sql('own')}, {_thin_sql('tail', 0.01)} SELECT {_label_sql('src')} AS src, {_label_sql('dst')} AS dst, n FROM thin",
+    "sankey_depth_limit": f"WITH {DOCS}, {KINDS}, {SPLIT}, {HELD}, {_depth_sql('holders', 1)} SELECT * FROM shallow",
+    "sankey_width_limit": f"WITH {DOCS}, {KINDS}, {SPLIT}, {HELD}, {_width_sql('holders', 20)} SELECT * FROM wide",
+    "sankey_tail": f"WITH {DOCS}, {KINDS}, {ROLLUP}, {_tail_sql('rollup_edges')} SELECT * FROM tail",
+    "sankey_thin": f"WITH {DOCS}, {KINDS}, {ROLLUP}, {OWN}, {_thin_sql('own', 0.02)} SELECT * FROM thin",
+    "sankey_process": f"WITH {DOCS}, {KINDS.replace('kinds AS', 'all_kinds AS')}, kinds AS (SELECT * FROM all_kinds WHERE file_name IN (SELECT file_name FROM all_kinds GROUP BY 1 ORDER BY sum(n) DESC, 1 LIMIT 200)), {ROLLUP}, {OWN}, {_thin_sql('own', 0.01)} SELECT {_label_sql('src')} AS src, {_label_sql('dst')} AS dst, n FROM thin",
+    "sankey_author": f"""WITH {DOCS}, a AS (SELECT DISTINCT bug_id, patch_id, "author.name" AS author FROM timeline WHERE "author.name" IS NOT NULL), best AS (SELECT author FROM a GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+        kinds AS (SELECT file_name, 'type.' || line_type AS kind, count(*) AS n FROM lines WHERE line_type IS NOT NULL AND file_name <> '' AND (bug_id, patch_id) IN (SELECT (bug_id, patch_id) FROM a SEMI JOIN best USING (author)) GROUP BY 1, 2),
+        {SPLIT}, {HELD}, {_depth_sql('holders', 2)}, {_width_sql('shallow', 5)} SELECT * FROM wide""",
     "sankey_mermaid": f"WITH {DOCS}, {KINDS}, {ROLLUP} SELECT {_label_sql('src')} || ',' || {_label_sql('dst')} || ',' || n::VARCHAR AS line FROM rollup_edges",
     "line_type_totals": f"WITH {DOCS}, {KINDS}, {ROLLUP} SELECT dst, sum(n)::BIGINT AS n FROM rollup_edges WHERE dst LIKE 'type.%' GROUP BY 1",
     "dir_intersect": f"WITH {DOCS}, {KINDS}, {ROLLUP}, {BOTH.format('rollup_edges')} SELECT src FROM both_dirs",

@@ -48,20 +48,68 @@ def test_directory_rollup(spark):
     assert e == {("a/b", "type.code"): 5, ("a/b", "type.test"): 2, ("a", "type.code"): 1, (".", "type.code"): 3, ("a/bc", "type.code"): 1, ("a", "a/b"): 7, ("a", "a/bc"): 1, (".", "a"): 9}
 
 
-def test_own_files_tail_and_thin(spark):
+def unbalanced(e, root="."):
+    """Inner nodes into which not as much flows as out."""
+    into, out = {}, {}
+    for (a, b), n in e.items():
+        out[a] = out.get(a, 0) + n
+        into[b] = into.get(b, 0) + n
+    return {x for x in {*into, *out} - {root} if not x.startswith("type.") and into.get(x) != out.get(x)}
+
+
+def deep_counts(spark, seed=1):
+    import random
+
+    rng = random.Random(seed)
+    rows = {}
+    for _ in range(150):
+        path = "/".join(rng.choice("abc") for _ in range(rng.randrange(0, 5))) + f"/f{rng.randrange(9)}.py"
+        rows[path.lstrip("/"), f"type.{rng.choice(['code', 'test'])}"] = rng.randrange(1, 40)
+    return spark.createDataFrame([(*k, n) for k, n in rows.items()], "file_name string, kind string, n int")
+
+
+def test_own_files_and_tail(spark):
     rolled = fl.directory_rollup(counts(spark))
     own = edges(fl.own_files(rolled))
-    assert own["a", "a/__dir__"] == 1 and own["a/__dir__", "type.code"] == 1 and ("a", "type.code") not in own
+    assert own["a", "__a__"] == 1 and own["__a__", "type.code"] == 1 and ("a", "type.code") not in own
     tail = edges(fl.reduce_tail(rolled))
-    assert tail["a", "type.code"] == 7 and ("a", "a/b") not in tail
-    assert edges(fl.reduce_tail(fl.reduce_tail(rolled))) == tail
-    thin = edges(fl.thin_out(rolled, 0.2))
-    assert thin["a", "a/..."] == 1 and ("a", "a/bc") not in thin
-
-
-def test_width_limit_compares_whole_parts(spark):
-    got = {(r.file_name, r.kind): r.n for r in fl.limit_width(counts(spark), 5).collect()}
-    assert got == {("a/b/x.py", "type.code"): 5, ("a/b/**", "type.test"): 2, ("a/**", "type.code"): 2, ("**", "type.code"): 3}
+    assert tail == {(".", "a"): 9, (".", "type.code"): 3, ("a", "type.code"): 7, ("a", "type.test"): 2}
+    assert edges(fl.reduce_tail(fl.reduce_tail(rolled))) == tail  # no directory lies in another any more
+    # with own nodes too: a's own node goes with its sub-directories
+    assert edges(fl.reduce_tail(fl.own_files(rolled)))["a", "type.code"] == 7
+    # a directory of the deepest level that doesn't end there keeps it
+    kept = spark.createDataFrame([(".", "a", 3), ("a", "a/b", 3), ("a/b", "other", 3)], "src string, dst string, n int")
+    assert edges(fl.reduce_tail(kept)) == edges(kept)
+
+
+def test_thin_out(spark):
+    own = fl.own_files(fl.directory_rollup(counts(spark)))
+    thin = edges(fl.thin_out(own, 0.2))
+    assert ("a", "a/bc") not in thin and not [k for k in thin if k[0] == "a/bc"]
+    assert thin["a", "type.code"] == 1 and thin["a", "a/b"] == 7 and thin["a", "__a__"] == 1
+
+
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.2, 0.9])
+def test_what_flows_in_flows_out(spark, share):
+    c = deep_counts(spark)
+    total = sum(r.n for r in c.collect())
+    own = fl.own_files(fl.directory_rollup(c))
+    for e in (own, fl.thin_out(own, share), fl.reduce_tail(own), fl.process(c, share), fl.process(c, share, most_files=10)):
+        e = edges(e)
+        assert not unbalanced(e)
+    assert sum(r.n for r in fl.kind_totals(fl.process(c, share)).collect()) == total
+    flow = edges(fl.process_patches(c, 2, 1000 * share))
+    assert not unbalanced(flow)
+    assert sum(n for (_, b), n in flow.items() if b.startswith("type.")) == total
+
+
+def test_depth_and_width_limits(spark):
+    split = fl.files_to_directories(fl.split_directories(counts(spark)))
+    assert edges(split)["a/b", "a/b/*"] == 7 and edges(split)["./*", "type.code"] == 3
+    shallow = edges(fl.limit_depth(split, 1))
+    assert shallow == {(".", "a"): 9, (".", "./*"): 3, ("./*", "type.code"): 3, ("a", "a/*"): 1, ("a/*", "type.code"): 1, ("a", "a/**"): 8, ("a/**", "type.code"): 6, ("a/**", "type.test"): 2}
+    wide = edges(fl.limit_width(split, 1))  # a/bc and a/* are thin, a/b isn't
+    assert wide == {(".", "a"): 9, (".", "./*"): 3, ("./*", "type.code"): 3, ("a", "a/b"): 7, ("a/b", "a/b/*"): 7, ("a/b/*", "type.code"): 5, ("a/b/*", "type.test"): 2, ("a", "a/**"): 2, ("a/**", "type.code"): 2}
 
 
 def test_labels_and_lines(spark):
@@ -72,7 +120,9 @@ def test_labels_and_lines(spark):
 def test_no_edges(spark):
     empty = counts(spark).limit(0)
     assert fl.process(empty).count() == 0
-    assert fl.limit_width(empty, 1).count() == 0
+    assert fl.process(empty, 0.1, most_files=3).count() == 0
+    assert fl.process_patches(empty, 2, 1).count() == 0
+    assert fl.reduce_tail(fl.directory_rollup(empty)).count() == 0
 
 
 SCHEMA = "id string, file string, image string, line int, user string, label string"
