@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffloom.functions import scalars
+from diffloom.operators import annotate as an
 from diffloom.operators import chunks as ch
 from diffloom.operators import classify as cl
 from diffloom.operators import flow as fl
@@ -236,7 +237,7 @@ def file_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spreads of files whose lines are cut into hunks of ten."""
     lines = ch.hunk_line_numbers(_hunk_lines(spark, sf_dir))
     cut = lines.withColumn("hunk_idx", (F.col("line_idx") / 10).cast("int"))
-    return ch.file_spreads(cut).drop("patch_id").select("file_idx", "n_hunks", "hunk_span_src", "hunk_span_dst", "hunk_spread_src", "hunk_spread_dst")
+    return ch.file_spreads(cut).drop("patch_id")
 
 
 def extents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,6 +298,29 @@ def diff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("patch_id").agg(F.countDistinct("file_idx").alias("n_files"), F.countDistinct("file_idx", "hunk_idx").alias("n_hunks"), F.count_if(F.col("line_type") == "+").alias("n_added"), F.count_if(F.col("line_type") == "-").alias("n_removed"))
 
 
+def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("patch_id"), "text")
+
+
+def patch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sizes, spreads and file counts of the diffs among the documents."""
+    return an.patch_metrics(diff_lines(_patches(spark, sf_dir)))
+
+
+def annotated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and length of every changed line of the diffs among the documents, by its tokens."""
+    lines = an.annotated_lines(_patches(spark, sf_dir))
+    size = F.aggregate("tokens", F.lit(0), lambda n, t: n + F.length(t["text"]))
+    return lines.select("patch_id", "file_name", "side", "id", "hunk_idx", "in_hunk_chg_idx", "file_line_no", size.alias("n_chars"))
+
+
+def annotated_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of annotation documents made of the diffs among the documents, by purpose, side and kind."""
+    files = ga.changed_files(an.annotate(_patches(spark, sf_dir)).withColumn("bug_id", F.lit(None).cast("string")))
+    both = F.explode(F.array(F.struct(F.lit("+").alias("side"), F.col("plus").alias("lines")), F.struct(F.lit("-").alias("side"), F.col("minus").alias("lines"))))
+    return files.select("purpose", both.alias("s")).select("purpose", "s.side", F.explode("s.lines").alias("line")).groupBy("purpose", "side", "line.type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def lex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all files by what their tokens are, lexed; those of documentation are documentation without the lexer."""
     files = table(spark, sf_dir, "source_files")
@@ -311,7 +335,7 @@ QUERIES = {f.__name__: f for f in (
     purpose_counter, purpose_per_file, lines_stats, lines_stats_override, timeline_counts, timeline_wide, added_lines, totals_positive, commit_columns, describe_per_patch, file_linetype_counts, top_changed_files,
     author_line_counts, selected_files, dir_rollup, split_dirs, file_to_dir, own_file_nodes, sankey_depth_limit, sankey_width_limit, sankey_tail, sankey_thin, sankey_process, sankey_author, sankey_mermaid, line_type_totals, dir_intersect, ancestors,
     path_functions, classify_paths, classified_against_given, missing_keys, without_dev_null, nunique_keys, line_flags, line_callbacks, line_kind, chunk_metrics, hunk_file_lines, hunk_coordinates, file_spreads, extents, front_fill,
-    hunk_line_totals, line_survival, clean_text, json_explode, format_version, skipped_names, normalise_layouts, diff_documents, lex_lines,
+    hunk_line_totals, line_survival, clean_text, json_explode, format_version, skipped_names, normalise_layouts, diff_documents, patch_metrics, annotated_lines, annotated_kinds, lex_lines,
 )}
 
 # Repeated documents of this data are equal, so any of them will do; which one is taken if they aren't is tested apart.
@@ -426,7 +450,36 @@ hl AS (SELECT patch_id, file_idx, 0 AS hunk_idx, line_idx, CASE WHEN regexp_matc
 NUMBERED = """nums AS (SELECT *, CASE WHEN line_type IN ('-', ' ') THEN 10 + coalesce(sum((line_type IN ('-', ' '))::INT) OVER w, 0) END AS s, CASE WHEN line_type IN ('+', ' ') THEN 20 + coalesce(sum((line_type IN ('+', ' '))::INT) OVER w, 0) END AS t
     FROM hl WINDOW w AS (PARTITION BY patch_id, file_idx ORDER BY line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
+DIFFS = r"""
+dl AS (SELECT doc_id::VARCHAR AS patch_id, unnest(string_split(text, chr(10))) AS v, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents WHERE contains(text, 'diff --git ')),
+dm AS (SELECT *, sum(starts_with(v, 'diff --git ')::INT) OVER w AS fno, sum(regexp_matches(v, '^@@ -[0-9]+(,[0-9]+)? [+][0-9]+(,[0-9]+)? @@')::INT) OVER w AS hno, regexp_matches(v, '^@@ -[0-9]+(,[0-9]+)? [+][0-9]+(,[0-9]+)? @@') AS h FROM dl WINDOW w AS (PARTITION BY patch_id ORDER BY i)),
+names AS (SELECT patch_id, fno, regexp_extract(v, '^diff --git a/(.*) b/.*$', 1) AS source_file, regexp_extract(v, '^diff --git a/.* b/(.*)$', 1) AS target_file FROM dm WHERE starts_with(v, 'diff --git ')),
+heads AS (SELECT patch_id, fno, hno, row_number() OVER (PARTITION BY patch_id, fno ORDER BY hno) - 1 AS hunk_idx, regexp_extract(v, '^@@ -([0-9]+)', 1)::INT AS sa, coalesce(nullif(regexp_extract(v, '^@@ -[0-9]+,([0-9]+)', 1), ''), '1')::INT AS la,
+    regexp_extract(v, '[+]([0-9]+)', 1)::INT AS sb, coalesce(nullif(regexp_extract(v, '[+][0-9]+,([0-9]+)', 1), ''), '1')::INT AS lb FROM dm WHERE h AND fno > 0),
+body AS (SELECT dm.*, hunk_idx, sa, la, sb, lb, CASE WHEN v = '' OR v = chr(13) THEN ' ' ELSE v[1] END AS sign FROM dm JOIN heads USING (patch_id, fno, hno) WHERE NOT h),
+seen AS (SELECT *, coalesce(sum((sign IN ('-', ' '))::INT) OVER w, 0) AS a, coalesce(sum((sign IN ('+', ' '))::INT) OVER w, 0) AS b FROM body WINDOW w AS (PARTITION BY patch_id, fno, hno ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fit AS (SELECT *, bool_and(sign IN ('+', '-', ' ') AND (a < la OR b < lb) AND NOT (v = '' AND i = n)) OVER (PARTITION BY patch_id, fno, hno ORDER BY i) AS ok FROM seen),
+rows_ AS (SELECT patch_id, fno, hunk_idx, sa, sb, sign, v, row_number() OVER w - 1 AS id, CASE WHEN sign <> '+' THEN (sa + a)::INT END AS s, CASE WHEN sign <> '-' THEN (sb + b)::INT END AS t, sign <> ' ' AS c FROM fit WHERE ok WINDOW w AS (PARTITION BY patch_id, fno, hunk_idx ORDER BY i))"""
+RUNS = """
+st AS (SELECT *, c AND NOT coalesce(lag(c) OVER w, false) AS first_of FROM rows_ WINDOW w AS (PARTITION BY patch_id, fno, hunk_idx ORDER BY id)),
+gn AS (SELECT *, sum(first_of::INT) OVER (PARTITION BY patch_id, fno, hunk_idx ORDER BY id) AS g FROM st),
+g0 AS (SELECT patch_id, fno, hunk_idx, g, count(*) FILTER (c AND sign = '-') AS k, count(*) FILTER (c AND sign = '+') AS m, count(*) FILTER (NOT c) AS after, min_by(sign, id) FILTER (c) AS lead_sign FROM gn WHERE g > 0 GROUP BY 1, 2, 3, 4),
+gr AS (SELECT *, g = max(g) OVER (PARTITION BY patch_id, fno, hunk_idx) AS is_last FROM g0),
+hm AS (SELECT patch_id, fno, hunk_idx, 1 AS n_hunks, sum(least(k, m)) AS n_mod, sum(k - least(k, m)) AS n_rem, sum(m - least(k, m)) AS n_add, sum(greatest(k, m)) AS patch_size, sum(m) AS n_lines_added, sum(k) AS n_lines_removed, count(*) AS n_groups,
+    coalesce(sum(after) FILTER (NOT is_last), 0) AS spread_inner, max(lead_sign) FILTER (is_last) AS last_sign, max(lead_sign) FILTER (g = 1) AS first_sign FROM gr GROUP BY 1, 2, 3),
+he AS (SELECT patch_id, fno, hunk_idx, count(*) AS n_lines_all, min(s) AS s0, max(s) AS s1, min(t) AS t0, max(t) AS t1, min(s) FILTER (c) AS cs0, max(s) FILTER (c) AS cs1, min(t) FILTER (c) AS ct0, max(t) FILTER (c) AS ct1 FROM rows_ GROUP BY 1, 2, 3),
+hh AS (SELECT *, lag(s1) OVER w AS ps1, lag(t1) OVER w AS pt1, lag(last_sign) OVER w AS before_sign, CASE lag(last_sign) OVER w WHEN '-' THEN lag(cs1) OVER w WHEN '+' THEN lag(ct1) OVER w END AS old_last FROM he LEFT JOIN hm USING (patch_id, fno, hunk_idx) WINDOW w AS (PARTITION BY patch_id, fno ORDER BY hunk_idx)),
+fs AS (SELECT patch_id, fno, max(s1) - min(s0) AS hunk_span_src, max(t1) - min(t0) AS hunk_span_dst, sum(s0 - ps1) AS hunk_spread_src, sum(t0 - pt1) AS hunk_spread_dst, sum(coalesce(spread_inner, 0)) + sum(coalesce(CASE WHEN before_sign = first_sign THEN CASE first_sign WHEN '-' THEN cs0 ELSE ct0 END - old_last - 1
+    ELSE CASE before_sign WHEN '-' THEN s0 ELSE t0 END - old_last - 1 + CASE first_sign WHEN '-' THEN cs0 - s0 ELSE ct0 - t0 END END, 0)) AS groups_spread FROM hh GROUP BY 1, 2)"""
+_SIZES = ("n_hunks", "n_mod", "n_rem", "n_add", "patch_size", "n_lines_added", "n_lines_removed", "n_lines_all", "n_groups", "spread_inner")
+
 SQL = {
+    "patch_metrics": f"""WITH {DIFFS}, {RUNS}, fc AS (SELECT names.patch_id, count(*) AS n_files, count(*) FILTER (NOT EXISTS (SELECT 1 FROM rows_ r WHERE r.patch_id = names.patch_id AND r.fno = names.fno)) AS n_binary_files, count(*) FILTER (source_file <> target_file) AS n_file_renames FROM names GROUP BY 1),
+        z AS (SELECT patch_id, {', '.join(f'sum({c}) AS {c}' for c in _SIZES)} FROM hh WHERE n_groups IS NOT NULL GROUP BY 1), sp AS (SELECT patch_id, {', '.join(f'sum(greatest(coalesce({c}, 0), 0)) AS {c}' for c in an.SPREADS)} FROM fs GROUP BY 1)
+        SELECT patch_id, n_files, n_binary_files, 0::BIGINT AS n_submodules, 0::BIGINT AS n_added_files, 0::BIGINT AS n_removed_files, n_file_renames, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in (*_SIZES, *an.SPREADS))} FROM fc LEFT JOIN z USING (patch_id) LEFT JOIN sp USING (patch_id)""",
+    "annotated_lines": f"""WITH {DIFFS} SELECT patch_id, CASE sign WHEN '+' THEN target_file ELSE source_file END AS file_name, sign AS side, id::INT AS id, hunk_idx::INT AS hunk_idx,
+        CASE WHEN regexp_matches(lower(source_file), '[.](md|rst|txt)$') AND NOT contains(lower(source_file), 'test') THEN (sum(c::INT) OVER h)::INT - 1 ELSE row_number() OVER (PARTITION BY patch_id, fno, hunk_idx, sign ORDER BY id)::INT - 1 END AS in_hunk_chg_idx, CASE sign WHEN '+' THEN t ELSE s END AS file_line_no, length(v)::INT AS n_chars
+        FROM rows_ JOIN names USING (patch_id, fno) WHERE c WINDOW h AS (PARTITION BY patch_id, fno, hunk_idx ORDER BY id)""",
     "purpose_counter": f"WITH {DOCS} SELECT 'files' AS kind, purpose, count(*) AS n FROM files WHERE purpose IS NOT NULL GROUP BY 2 UNION ALL SELECT CASE side WHEN '+' THEN 'added' ELSE 'removed' END, line_purpose, count(*) FROM lines WHERE line_purpose IS NOT NULL GROUP BY 1, 2",
     "purpose_per_file": f"WITH {DOCS} SELECT bug_id, patch_id, file_name, purpose FROM files",
     "lines_stats": f"WITH {DOCS}, {_stats_sql('lines')}", "lines_stats_override": f"WITH {DOCS}, {TYPED}, {_stats_sql('typed')}",
@@ -470,9 +523,8 @@ SQL = {
         FROM last JOIN every USING (patch_id, file_idx, hunk_idx) GROUP BY 1, 2, 3""",
     "hunk_file_lines": f"WITH {HUNKS}, {NUMBERED} SELECT file_idx, max(s)::BIGINT AS last_source, max(t)::BIGINT AS last_target, sum(s)::BIGINT AS sum_source, sum(t)::BIGINT AS sum_target FROM nums GROUP BY 1",
     "hunk_coordinates": f"WITH {HUNKS}, x AS (SELECT *, row_number() OVER w AS i, CASE WHEN line_type <> ' ' THEN sum((line_type <> ' ')::INT) OVER w END AS c FROM hl WINDOW w AS (PARTITION BY patch_id, file_idx ORDER BY line_idx)) SELECT file_idx, max(i)::INT AS n_lines, max(c)::BIGINT AS n_changed, sum(c)::BIGINT AS sum_changed FROM x GROUP BY 1",
-    "file_spreads": f"""WITH {HUNKS}, {NUMBERED}, h AS (SELECT patch_id, file_idx, line_idx // 10 AS h, min(s) AS sa, max(s) AS sz, min(t) AS ta, max(t) AS tz FROM nums GROUP BY ALL),
-        g AS (SELECT *, sa - lag(sz) OVER w AS sg, ta - lag(tz) OVER w AS tg FROM h WINDOW w AS (PARTITION BY patch_id, file_idx ORDER BY h))
-        SELECT file_idx, count(*) AS n_hunks, (max(sz) - min(sa))::BIGINT AS hunk_span_src, (max(tz) - min(ta))::BIGINT AS hunk_span_dst, coalesce(sum(sg), 0)::BIGINT AS hunk_spread_src, coalesce(sum(tg), 0)::BIGINT AS hunk_spread_dst FROM g GROUP BY patch_id, file_idx""",
+    "file_spreads": f"""WITH {HUNKS}, {NUMBERED}, rows_ AS (SELECT patch_id, file_idx AS fno, line_idx // 10 AS hunk_idx, line_idx AS id, line_type AS sign, s::INT AS s, t::INT AS t, line_type <> ' ' AS c FROM nums), {RUNS}, nh AS (SELECT patch_id, fno, count(*) AS n_hunks FROM he GROUP BY 1, 2)
+        SELECT fno AS file_idx, n_hunks, hunk_span_src::BIGINT AS hunk_span_src, hunk_span_dst::BIGINT AS hunk_span_dst, coalesce(hunk_spread_src, 0)::BIGINT AS hunk_spread_src, coalesce(hunk_spread_dst, 0)::BIGINT AS hunk_spread_dst, groups_spread::BIGINT AS groups_spread FROM fs JOIN nh USING (patch_id, fno)""",
     "extents": f"WITH {HUNKS}, r AS (SELECT file_idx, line_idx, line_idx - row_number() OVER (PARTITION BY file_idx ORDER BY line_idx) AS run FROM hl WHERE line_type = '+') SELECT file_idx, min(line_idx)::INT AS first, max(line_idx)::INT AS last FROM r GROUP BY file_idx, run",
     "front_fill": f"""WITH {HUNKS}, k AS (SELECT file_idx, line_idx, line_type FROM hl WHERE line_type <> ' '), e AS (SELECT file_idx, unnest(generate_series(min(line_idx), max(line_idx))) AS line_idx FROM k GROUP BY file_idx),
         f AS (SELECT e.file_idx, last_value(line_type IGNORE NULLS) OVER (PARTITION BY e.file_idx ORDER BY e.line_idx) AS line_type FROM e LEFT JOIN k ON e.file_idx = k.file_idx AND e.line_idx = k.line_idx) SELECT file_idx, line_type, count(*) AS n FROM f GROUP BY 1, 2""",

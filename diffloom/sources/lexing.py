@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 TOKENS = "array<struct<idx:int,type:array<string>,text:string>>"
 #: A frame of tokens goes to Spark once it has so many lines, so that memory doesn't grow with the batch.
 FRAME_LINES = 5000
+#: Lines end as in a diff, with \\n only: a lone \\r or another separator is part of its line.
+_LINES = re.compile(r"[^\n]*\n|[^\n]+")
 _LEXERS: dict[str, object] = {}
 
 
@@ -33,10 +36,10 @@ def lex_lines(name: str, text: str) -> list[list[tuple[int, list[str], str]]]:
     lines: list[list] = [[]]
     for at, kind, value in lexer_for(name).get_tokens_unprocessed(text):
         path = [str(x) for x in kind]
-        for part in value.splitlines(keepends=True):
+        for part in _LINES.findall(value):
             lines[-1].append((at, path, part))
             at += len(part)
-            if part.endswith(("\n", "\r")):
+            if part[-1] == "\n":
                 lines.append([])
     if not lines[-1]:
         lines.pop()
