@@ -6,68 +6,108 @@ loaded from a YAML file in the layout of public language catalogues.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Languages with their type, extensions and file names.
+# Languages with their type, extensions and file names. Of languages with one extension the first by name counts.
 CATALOGUE = {
-    "Python": ("programming", ".py .pyi .pyw", "SConstruct wscript"), "JavaScript": ("programming", ".js .mjs .cjs .jsx", "Jakefile"), "TypeScript": ("programming", ".ts .tsx", ""),
-    "C": ("programming", ".c .h", ""), "C++": ("programming", ".cpp .cc .cxx .hpp .hh .hxx", ""), "C#": ("programming", ".cs", ""), "Java": ("programming", ".java", ""), "Go": ("programming", ".go", ""),
-    "Rust": ("programming", ".rs", ""), "Ruby": ("programming", ".rb .gemspec .rake", "Rakefile Gemfile"), "PHP": ("programming", ".php", ""), "Perl": ("programming", ".pl .pm", ""), "Shell": ("programming", ".sh .bash .zsh", "configure"),
-    "Kotlin": ("programming", ".kt .kts", ""), "Scala": ("programming", ".scala .sbt", ""), "Swift": ("programming", ".swift", ""), "R": ("programming", ".r", ""), "Julia": ("programming", ".jl", ""), "Lua": ("programming", ".lua", ""),
-    "SQL": ("data", ".sql", ""), "Makefile": ("programming", ".mk .mak", "Makefile GNUmakefile makefile"), "CMake": ("programming", ".cmake", "CMakeLists.txt"), "Dockerfile": ("programming", ".dockerfile", "Dockerfile Containerfile"),
-    "Lex": ("programming", ".l .lex", ""), "Yacc": ("programming", ".y", ""), "M4": ("programming", ".m4", ""), "Assembly": ("programming", ".asm .s", ""), "Cython": ("programming", ".pyx .pxd", ""), "Batchfile": ("programming", ".bat .cmd", ""),
-    "HTML": ("markup", ".html .htm .xhtml", ""), "CSS": ("markup", ".css", ""), "SCSS": ("markup", ".scss", ""), "SVG": ("data", ".svg", ""), "XML": ("data", ".xml .xsd .xsl", ""), "Roff": ("markup", ".1 .2 .3 .4 .5 .6 .7 .8 .man", ""),
-    "TeX": ("markup", ".tex .sty", ""), "Jupyter Notebook": ("markup", ".ipynb", ""), "Jinja": ("markup", ".jinja .j2", ""), "JSON": ("data", ".json .geojson", ".watchmanconfig composer.lock Pipfile.lock"),
-    "YAML": ("data", ".yml .yaml", ".clang-format .clang-tidy"), "TOML": ("data", ".toml", "Cargo.lock poetry.lock Pipfile"), "INI": ("data", ".ini .cfg .properties", ".editorconfig .gitconfig"), "CSV": ("data", ".csv", ""),
-    "Ignore List": ("data", ".gitignore", ".gitignore .dockerignore .npmignore"), "Git Attributes": ("data", ".gitattributes", ".gitattributes"), "Pip Requirements": ("data", "", "requirements.txt requirements-dev.txt dev-requirements.txt"),
-    "RPM Spec": ("data", ".spec", ""), "Protocol Buffer": ("data", ".proto", ""), "Diff": ("data", ".diff .patch", ""), "Gettext Catalog": ("prose", ".po .pot", ""),
-    "Markdown": ("prose", ".md .markdown", ""), "reStructuredText": ("prose", ".rst .rest", ""), "Text": ("prose", ".txt", "README INSTALL COPYING LICENSE NEWS ChangeLog AUTHORS THANKS TODO CHANGES HISTORY CREDITS CONTRIBUTING"), "AsciiDoc": ("prose", ".adoc .asciidoc", ""), "Org": ("prose", ".org", ""),
+    "ActionScript": ("programming", ".as", ""), "AsciiDoc": ("prose", ".adoc .asc .asciidoc", ""), "Assembly": ("programming", ".asm .nas .nasm .s", ""), "Batchfile": ("programming", ".bat .cmd", ""), "C": ("programming", ".c .h .idc", ""),
+    "C#": ("programming", ".cake .cs .csx", ""), "C++": ("programming", ".c++ .cc .cp .cpp .cxx .h .h++ .hh .hpp .hxx .inl .ipp .tcc .tpp", ""), "CMake": ("programming", ".cmake", "CMakeLists.txt"), "CSS": ("markup", ".css", ""), "CSV": ("data", ".csv", ""),
+    "Cython": ("programming", ".pyx .pxd .pxi", ""), "Diff": ("data", ".diff .patch", ""), "Dockerfile": ("programming", ".dockerfile", "Containerfile Dockerfile"), "Gettext Catalog": ("prose", ".po .pot", ""), "Git Attributes": ("data", "", ".gitattributes"),
+    "Git Config": ("data", ".gitconfig", ".gitconfig .gitmodules"), "Go": ("programming", ".go", ""), "Gradle": ("data", ".gradle", ""), "Groovy": ("programming", ".groovy .grt .gtpl .gvy", "Jenkinsfile"), "HTML": ("markup", ".htm .html .xht .xhtml", ""), "INI": ("data", ".cfg .ini .prefs .properties", ".flake8 .pylintrc buildozer.spec"),
+    "Ignore List": ("data", ".gitignore", ".dockerignore .eslintignore .gitignore .npmignore .prettierignore"), "JSON": ("data", ".geojson .json .jsonl .topojson .webmanifest", ".watchmanconfig Pipfile.lock composer.lock"), "Java": ("programming", ".java .jav", ""), "JavaScript": ("programming", ".cjs .es6 .js .jsx .mjs", "Jakefile"),
+    "Jinja": ("markup", ".j2 .jinja .jinja2", ""), "Julia": ("programming", ".jl", ""), "Jupyter Notebook": ("markup", ".ipynb", "Notebook"), "Kotlin": ("programming", ".kt .ktm .kts", ""), "Lex": ("programming", ".l .lex", "Lexer.x lexer.x"), "Lua": ("programming", ".lua .rockspec", ""), "M4": ("programming", ".m4 .mc", ""), "M4Sugar": ("programming", ".m4", "configure.ac"),
+    "Makefile": ("programming", ".d .mak .make .makefile .mk .mkfile", "BSDmakefile GNUmakefile Kbuild Makefile Makefile.am Makefile.in Makefile.inc makefile"), "Markdown": ("prose", ".markdown .md .mdown .mkd .mkdn", "contents.lr"), "Meson": ("programming", "", "meson.build meson_options.txt"), "Nix": ("programming", ".nix", ""), "Objective-C": ("programming", ".h .m", ""), "Org": ("prose", ".org", ""), "PHP": ("programming", ".php .phps .phpt", ""),
+    "Perl": ("programming", ".pl .pm .t", "Makefile.PL"), "Pip Requirements": ("data", "", "dev-requirements.txt requirements-dev.txt requirements.txt"), "Protocol Buffer": ("data", ".proto", ""), "Python": ("programming", ".py .pyi .pyp .pyt .pyw .spec .wsgi", "SConscript SConstruct wscript"), "R": ("programming", ".r .rd .rsx", ".Rprofile"), "RPM Spec": ("data", ".spec", ""), "Roff": ("markup", ".1 .2 .3 .4 .5 .6 .7 .8 .9 .l .man .me .ms .n .roff", "eqnrc mmn mmt"),
+    "Ruby": ("programming", ".gemspec .rake .rb .spec", "Gemfile Podfile Rakefile Vagrantfile"), "Rust": ("programming", ".rs", ""), "SCSS": ("markup", ".scss", ""), "SQL": ("data", ".sql", ""), "SVG": ("data", ".svg", ""), "Scala": ("programming", ".sbt .sc .scala", ""), "Shell": ("programming", ".bash .sh .zsh", ".bashrc .profile .zshrc"), "Solidity": ("programming", ".sol", ""), "Swift": ("programming", ".swift", ""),
+    "TOML": ("data", ".toml", "Cargo.lock Gopkg.lock Pipfile poetry.lock"), "TSX": ("programming", ".tsx", ""), "TeX": ("markup", ".bib .cls .ltx .sty .tex", ""), "Text": ("prose", ".fr .nb .txt", "CITATION COPYING COPYRIGHT.regex FONTLOG INSTALL LICENSE LICENSE.mysql NEWS README.me go.mod go.sum"), "TypeScript": ("programming", ".cts .mts .ts", ""), "XML": ("data", ".csproj .plist .rng .rs .ts .tsx .vcxproj .xml .xsd .xsl", "App.config"),
+    "YAML": ("data", ".yaml .yml", ".clang-format .clang-tidy CITATION.cff"), "Yacc": ("programming", ".y .yacc .yy", ""), "reStructuredText": ("prose", ".rest .rst", ""),
 }
-# Path patterns with a purpose, first match first; a pattern without / is matched by the last part alone.
+# Languages of file names, before the catalogue's.
+FILENAME_LANGUAGES = {
+    "AUTHORS": "Text", "COPYING": "Text", "ChangeLog": "Text", "CHANGELOG": "Text", "INSTALL": "Text", "NEWS": "Text", "PACKAGERS": "Text", "README": "Text", "THANKS": "Text", "TODO": "Text", "MANIFEST.in": "Text",
+    "Makefile": "Makefile", "build.cake": "C#", "configure.ac": "M4Sugar", "flake.lock": "JSON", ".pylintrc": "INI",
+}
+# Languages of extensions, before the catalogue's and without exceptions.
+EXTENSION_LANGUAGES = {
+    ".as": "ActionScript", ".asm": "ASM", ".cfg": "INI", ".cs": "C#", ".h": "C", ".html": "HTML", ".json": "JSON", ".md": "Markdown", ".MD": "Markdown", ".php": "PHP", ".pl": "Perl", ".pm": "Perl", ".plist": "XML",
+    ".properties": "INI", ".rs": "Rust", ".sol": "Solidity", ".sql": "SQL", ".t": "Perl", ".ts": "TypeScript", ".txt": "Text", ".TXT": "Text", ".tsx": "TSX", ".yaml": "YAML", ".yml": "YAML",
+}
+# Path patterns with a purpose, first match first; patterns are matched from the right, part by part.
 PURPOSES = (
-    ("*.cmake", "project"), ("*.nimble", "project"), ("*.podspec", "project"), ("*.pyproject", "project"), ("*.pom", "project"), ("*.sln", "project"), ("*.wscript", "project"), ("*.csproj", "project"), ("*.vcxproj", "project"),
-    ("requirements*.txt", "project"), ("go.mod", "project"), ("go.sum", "project"), ("BUILD", "project"), ("CMakeLists.txt", "project"), ("Cargo.toml", "project"), ("Cargo.lock", "project"), ("Dockerfile*", "project"), ("Gemfile", "project"), ("Gemfile.lock", "project"),
-    ("Makefile*", "project"), ("makefile", "project"), ("GNUmakefile", "project"), ("Podfile", "project"), ("Rakefile", "project"), ("bower.json", "project"), ("build.gradle", "project"), ("build.sbt", "project"), ("build.xml", "project"), ("composer.json", "project"),
-    ("conanfile.txt", "project"), ("meson.build", "project"), ("package.json", "project"), ("package-lock.json", "project"), ("pom.xml", "project"), ("pyproject.toml", "project"), ("setup.cfg", "project"), ("setup.py", "project"), ("tox.ini", "project"), (".gitignore", "project"),
-    (".gitattributes", "project"), (".editorconfig", "project"), ("doc", "documentation"), ("docs", "documentation"), ("documentation", "documentation"), ("man", "documentation"),
+    ("*.cmake", "project"), (".nuspec", "project"), ("BUILD", "project"), ("build.cake", "project"), ("CMakeLists.txt", "project"), ("Cargo.toml", "project"), ("Dockerfile", "project"), ("Gemfile", "project"), ("Makefile", "project"),
+    ("Podfile", "project"), ("bower.json", "project"), ("build.gradle", "project"), ("build.gradle.kts", "project"), ("build.sbt", "project"), ("buildfile", "project"), ("bun.lockb", "project"), ("*.cabal", "project"), ("composer.json", "project"),
+    ("conanfile.py", "project"), ("conanfile.txt", "project"), ("flake.lock", "project"), ("flake.nix", "project"), ("go.mod", "project"), ("info/index.json", "project"), ("ivy.xml", "project"), ("manifest", "project"), ("MANIFEST.in", "project"),
+    ("meson.build", "project"), (".node-version", "project"), ("package.json", "project"), ("pom.xml", "project"), ("project.clj", "project"), ("pyproject.toml", "project"), (".pylintrc", "project"), ("requirements.txt", "project"), ("setup.cfg", "project"),
+    (".tool-versions", "project"), ("vcpkg.json", "project"), (".gitignore", "project"), (".hgignore", "project"), ("doc", "documentation"), ("docs", "documentation"), ("documentation", "documentation"), ("man", "documentation"),
 )
 
 
 @dataclass(frozen=True)
 class Rules:
-    """The rule tables of a classification; ``overrides`` go before the catalogue."""
+    """The rule tables of a classification; the two tables of languages go before the catalogue."""
 
     catalogue: dict[str, tuple[str, str, str]] = field(default_factory=lambda: dict(CATALOGUE))
-    filename_overrides: dict[str, str] = field(default_factory=dict)
-    extension_overrides: dict[str, str] = field(default_factory=dict)
+    filename_overrides: dict[str, str] = field(default_factory=lambda: dict(FILENAME_LANGUAGES))
+    extension_overrides: dict[str, str] = field(default_factory=lambda: dict(EXTENSION_LANGUAGES))
     purposes: tuple[tuple[str, str], ...] = PURPOSES
     purpose_to_type: dict[str, str] = field(default_factory=lambda: {"documentation": "documentation"})
 
-    def extensions(self) -> dict[str, str]:
-        out: dict[str, str] = {}
-        for language, (_, extensions, _) in self.catalogue.items():
-            for e in extensions.split():
-                out.setdefault(e, language)
-        return out | self.extension_overrides
+    def extensions(self) -> dict[str, list[str]]:
+        """The languages of each extension of the catalogue, in its order."""
+        return self._reverse(1)
+
+    def filenames(self) -> dict[str, list[str]]:
+        return self._reverse(2) | {name: [language] for name, language in self.filename_overrides.items()}
+
+    def _reverse(self, part: int) -> dict[str, list[str]]:
+        out: dict[str, list[str]] = {}
+        for language, row in self.catalogue.items():
+            for key in row[part].split():
+                out.setdefault(key, []).append(language)
+        return out
+
+    def updated(self, extensions: Iterable[str] = (), filenames: Iterable[str] = (), purposes: Iterable[str] = (), purpose_to_type: Iterable[str] = ()) -> Rules:
+        """These rules with more of them, as texts ``key:value``, one after the other.
+
+        An empty text empties its table, so that only what comes after it counts. A key that is there keeps its place and gets
+        the new value. A purpose alone, without a colon, is its own type.
+        """
+        return replace(
+            self, extension_overrides=_changed(self.extension_overrides, extensions), filename_overrides=_changed(self.filename_overrides, filenames),
+            purposes=tuple(_changed(dict(self.purposes), purposes).items()), purpose_to_type=_changed(self.purpose_to_type, purpose_to_type),
+        )
+
 
-    def filenames(self) -> dict[str, str]:
-        out: dict[str, str] = {}
-        for language, (_, _, names) in self.catalogue.items():
-            for n in names.split():
-                out.setdefault(n, language)
-        return out | self.filename_overrides
+def colon_pair(text: str) -> tuple[str, str]:
+    """(a, b) of ``a:b``, and (a, a) of ``a``; what stands after a second colon is left out."""
+    parts = text.split(":")
+    return parts[0], parts[1] if len(parts) > 1 else parts[0]
+
+
+def _changed(table: dict[str, str], rules: Iterable[str]) -> dict[str, str]:
+    out = dict(table)
+    for rule in rules:
+        if rule:
+            key, value = colon_pair(rule)
+            out[key] = value
+        else:
+            out = {}
+    return out
 
 
 def load_catalogue(path: str) -> dict[str, tuple[str, str, str]]:
-    """A catalogue from YAML: language to its type, extensions and filenames."""
+    """A catalogue from YAML: language to its type, extensions (primary ones first) and filenames, in the file's order."""
     import yaml
 
     with open(path, encoding="utf-8") as f:
         raw = yaml.safe_load(f)
-    return {k: (v.get("type", "other"), " ".join(v.get("extensions", [])), " ".join(n for n in v.get("filenames", []) if " " not in n)) for k, v in raw.items()}
+    names = lambda v, *keys: " ".join(dict.fromkeys(x for k in keys for x in (v.get(k) or []) if " " not in x))
+    return {k: (v.get("type") or "other", names(v, "primary_extension", "extensions"), names(v, "filenames")) for k, v in raw.items()}
 
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:
@@ -84,12 +124,26 @@ def suffix(path: Column) -> Column:
 
 
 def language(path: Column, rules: Rules) -> Column:
-    """By name, else by suffix; ``/dev/null`` is its own, an unknown file ``unknown``. A few names decide before: rpm specs, kconfig."""
-    name = basename(path)
-    kconfig = F.lower(name).startswith("kconfig")
-    by_name = _lookup(name, rules.filenames())
-    by_suffix = _lookup(F.lower(suffix(path)), rules.extensions())
-    return F.when(path == "/dev/null", "/dev/null").when(kconfig, "Lex").otherwise(F.coalesce(by_name, by_suffix, F.lit("unknown")))
+    """By name, else by suffix, as they are written; ``/dev/null`` is its own, an unknown file ``unknown``.
+
+    Where a name or a suffix of the catalogue has several languages, a few paths and languages are told apart by rule; else
+    the catalogue's first one counts.
+    """
+    lists = lambda table: _lookup(basename(path), {k: "\n".join(v) for k, v in table.items()})
+    of_suffix = _lookup(suffix(path), {k: "\n".join(v) for k, v in rules.extensions().items()})
+    found = F.coalesce(_told_apart(path, lists(rules.filenames())), _lookup(suffix(path), rules.extension_overrides), _told_apart(path, of_suffix))
+    return F.coalesce(found, F.when(path.contains("/dev/null"), "/dev/null"), F.lit("unknown"))
+
+
+def _told_apart(path: Column, languages: Column) -> Column:
+    """One of ``languages``, a text with one in each line."""
+    every, low = F.split(languages, "\n"), F.lower(path)
+    has = lambda name: F.array_contains(every, name)
+    out = F.when(low.contains("spark") & has("Roff"), "Text").when(low.contains("kconfig") & has("Lex"), "Lex")
+    for name in ("HTML", "Roff", "M4"):
+        out = out.when(has(name), name)
+    out = out.when(path.startswith("rpm/") & path.endswith(".spec"), "RPM Spec").otherwise(F.get(every, F.lit(0)))
+    return F.when(languages.isNotNull(), out)
 
 
 def kind(lang: Column, rules: Rules) -> Column:
@@ -112,12 +166,27 @@ def purpose(path: Column, type_: Column, rules: Rules) -> Column:
     return out.when(type_ == "prose", "documentation").when(type_.isin("programming", "data", "markup", "other"), type_).otherwise("unknown")
 
 
-def classify(files: DataFrame, rules: Rules | None = None, path: str = "file_name") -> DataFrame:
-    """``files`` with ``path_language``, ``path_type`` and ``path_purpose`` by their path alone; null for a null path."""
+def classify(files: DataFrame, rules: Rules | None = None, path: str = "file_name", finder: Callable[[str], tuple[str, str]] | None = None) -> DataFrame:
+    """``files`` with ``path_language``, ``path_type`` and ``path_purpose`` by their path alone; null for a null path.
+
+    ``finder`` takes the place of the tables of languages: it gives the language and type of a path; the purpose follows from
+    both as usual. It runs in Arrow batches.
+    """
     rules = rules or Rules()
-    out = files.withColumn("path_language", F.when(F.col(path).isNotNull(), language(F.col(path), rules)))
-    out = out.withColumn("path_type", F.when(F.col(path).isNotNull(), kind(F.col("path_language"), rules)))
-    return out.withColumn("path_purpose", F.when(F.col(path).isNotNull(), purpose(F.col(path), F.col("path_type"), rules)))
+    known = F.col(path).isNotNull()
+    if finder:
+
+        @F.pandas_udf("language string, type string")
+        def find(paths: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for series in paths:
+                yield pd.DataFrame([finder(p) if isinstance(p, str) else (None, None) for p in series], columns=["language", "type"])
+
+        found = files.withColumn("_found", find(F.col(path)))
+        out = found.withColumn("path_language", F.col("_found.language")).withColumn("path_type", F.col("_found.type")).drop("_found")
+    else:
+        out = files.withColumn("path_language", F.when(known, language(F.col(path), rules)))
+        out = out.withColumn("path_type", F.when(known, kind(F.col("path_language"), rules)))
+    return out.withColumn("path_purpose", F.when(known, purpose(F.col(path), F.col("path_type"), rules)))
 
 
 def token_is(token: Column, *path: str) -> Column:

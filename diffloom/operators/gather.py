@@ -14,14 +14,20 @@ PURPOSE_TO_TYPE = {"documentation": "documentation"}
 
 
 def distinct_documents(annotations: DataFrame) -> DataFrame:
-    """One document per (bug_id, patch_id): of several the one whose changes and metrics are greatest as JSON.
+    """One document per (bug_id, patch_id): of several the one that says most, then the one whose digest is greatest.
 
-    Documents without changes or metadata stay, with null in their place.
+    A document says more the longer its changes are as text, then its metrics and its metadata. Only documents of repeated keys
+    are grouped, and compared by lengths and digests; where those keys are few, the others aren't shuffled at all. Documents
+    without changes or metadata stay, with null in their place.
     """
-    order = F.struct(F.coalesce(F.to_json("changes"), F.lit("")), F.coalesce(F.to_json("diff_metadata"), F.lit("")), F.coalesce(F.to_json("commit_metadata"), F.lit("")))
     rest = ["commit_metadata", "changes", "diff_metadata"]
-    best = annotations.groupBy("bug_id", "patch_id").agg(F.max_by(F.struct(*rest), order).alias("d"))
-    return best.select("bug_id", "patch_id", *[F.col(f"d.{c}").alias(c) for c in rest])
+    repeated = annotations.groupBy(F.col("bug_id").alias("_bug"), F.col("patch_id").alias("_patch")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    marked = annotations.select("bug_id", "patch_id", *rest).join(repeated, F.col("bug_id").eqNullSafe(F.col("_bug")) & F.col("patch_id").eqNullSafe(F.col("_patch")), "left")
+    once = marked.filter("_n IS NULL").select("bug_id", "patch_id", *rest)
+    text = [F.coalesce(F.to_json(c), F.lit("")) for c in ("changes", "diff_metadata", "commit_metadata")]
+    rank = F.struct(*[F.length(t) for t in text], F.sha2(F.concat_ws("\n", *text), 256))
+    best = marked.filter("_n > 1").groupBy("bug_id", "patch_id").agg(F.max_by(F.struct(*rest), rank).alias("d"))
+    return once.unionByName(best.select("bug_id", "patch_id", *[F.col(f"d.{c}").alias(c) for c in rest]))
 
 
 def changed_files(documents: DataFrame) -> DataFrame:
@@ -95,13 +101,16 @@ def commit_columns(documents: DataFrame) -> DataFrame:
     return documents.select("bug_id", "patch_id", *who, F.size("commit_metadata.parents").alias("n_parents"))
 
 
-def timeline_wide(documents: DataFrame, keys: list[str], rules: dict[str, str] | None = None) -> DataFrame:
+def timeline_wide(documents: DataFrame, keys: list[str] | None = None, rules: dict[str, str] | None = None) -> DataFrame:
     """One row per document with a column for each of ``keys`` (null where there is no count) and the commit's fields.
 
-    A column's name is its key with ``_`` for signs, ``p`` for + and ``m`` for -.
+    Without ``keys`` there is one for each key that occurs, up to Spark's limit of pivot values. A column's name is its key with
+    ``_`` for signs, ``p`` for + and ``m`` for -.
     """
-    counts = timeline_counts(documents, rules).filter(F.col("key").isin(*keys)).groupBy("bug_id", "patch_id").pivot("key", keys).agg(F.sum("n"))
-    named = counts.select("bug_id", "patch_id", *[F.col(f"`{k}`").alias(column_name(k)) for k in keys])
+    counts = timeline_counts(documents, rules)
+    counts = (counts.filter(F.col("key").isin(*keys)) if keys else counts).groupBy("bug_id", "patch_id")
+    wide = (counts.pivot("key", keys) if keys else counts.pivot("key")).agg(F.sum("n"))
+    named = wide.select("bug_id", "patch_id", *[F.col(f"`{k}`").alias(column_name(k)) for k in keys or wide.columns[2:]])
     return commit_columns(documents).join(named, ["bug_id", "patch_id"], "left")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from diffloom.functions import scalars
 from diffloom.operators import annotate as an
+from diffloom.operators import authors as au
 from diffloom.operators import chunks as ch
 from diffloom.operators import classify as cl
 from diffloom.operators import flow as fl
@@ -17,7 +18,6 @@ from diffloom.sources.diffs import diff_lines
 from diffloom.sources.lexing import with_tokens
 from diffloom.session import table
 
-KEYS = ["file_names", "type:programming", "type:prose", "purpose:test", "purpose:documentation", "+:count", "-:count", "+:type.code", "-:type.code", "+:purpose.programming", "diff.n_files"]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,8 @@ def timeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ga.timeline_wide(_documents(spark, sf_dir), KEYS)
+    """A column for every key that occurs: names of languages, types and metrics, of which a corpus has a few dozens."""
+    return ga.timeline_wide(_documents(spark, sf_dir))
 
 
 def added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +173,11 @@ def classify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.classify(rows)
 
 
+def classify_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule and exception on a path of its own."""
+    return cl.classify(spark.createDataFrame([(case[0],) for case in CASES], "file_name string"))
+
+
 def classified_against_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cl.classify(table(spark, sf_dir, "source_files"))
     return rows.groupBy("purpose", "path_purpose", "type", "path_type").agg(F.count(F.lit(1)).alias("n"))
@@ -201,9 +207,18 @@ def line_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ga.changed_files(_documents(spark, sf_dir)).select("purpose", F.explode("plus").alias("l"))
+    """Lines of both sides by the kind that each of the callbacks gives them."""
+    sides = F.explode(F.array(F.struct(F.lit("+").alias("side"), F.col("plus").alias("lines")), F.struct(F.lit("-").alias("side"), F.col("minus").alias("lines"))))
+    lines = ga.changed_files(_documents(spark, sf_dir)).select("purpose", sides.alias("s")).select("purpose", "s.side", F.explode("s.lines").alias("l"))
     tokens = F.coalesce(F.col("l.tokens"), F.array().cast("array<struct<idx:int,type:array<string>,text:string>>"))
-    return lines.select(cl.line_type(F.col("purpose"), tokens, cl.CALLBACKS["bugfix"](tokens)).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(name).alias("callback"), cl.line_type(F.col("purpose"), tokens, f(tokens)).alias("kind")) for name, f in cl.CALLBACKS.items()]))
+    return lines.select("side", kinds.alias("k")).groupBy("side", "k.callback", "k.kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def contribution_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each kind in all changed lines, added and removed."""
+    lines = ga.changed_lines(_documents(spark, sf_dir)).filter("line_type IS NOT NULL").groupBy(F.col("line_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return _rounded(au.contribution_mix(lines))
 
 
 def line_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +349,7 @@ def lex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     purpose_counter, purpose_per_file, lines_stats, lines_stats_override, timeline_counts, timeline_wide, added_lines, totals_positive, commit_columns, describe_per_patch, file_linetype_counts, top_changed_files,
     author_line_counts, selected_files, dir_rollup, split_dirs, file_to_dir, own_file_nodes, sankey_depth_limit, sankey_width_limit, sankey_tail, sankey_thin, sankey_process, sankey_author, sankey_mermaid, line_type_totals, dir_intersect, ancestors,
-    path_functions, classify_paths, classified_against_given, missing_keys, without_dev_null, nunique_keys, line_flags, line_callbacks, line_kind, chunk_metrics, hunk_file_lines, hunk_coordinates, file_spreads, extents, front_fill,
+    path_functions, classify_paths, classify_cases, classified_against_given, missing_keys, without_dev_null, nunique_keys, line_flags, line_callbacks, contribution_mix, line_kind, chunk_metrics, hunk_file_lines, hunk_coordinates, file_spreads, extents, front_fill,
     hunk_line_totals, line_survival, clean_text, json_explode, format_version, skipped_names, normalise_layouts, diff_documents, patch_metrics, annotated_lines, annotated_kinds, lex_lines,
 )}
 
@@ -414,18 +429,29 @@ def _label_sql(c: str) -> str:
     return f"regexp_replace(CASE WHEN {c} = '.' THEN '{{root}}' ELSE {c} END, '^type[.](.*)$', '[\\1]')"
 
 
+#: Paths with the language, type and purpose that the rules must give, each a rule or an exception of its own.
+CASES = [
+    ("src/main.cpp", "C++", "programming", "programming"), ("INSTALL", "Text", "prose", "documentation"), ("ChangeLog", "Text", "prose", "documentation"), ("README.md", "Markdown", "prose", "documentation"), ("docs/index.rst", "reStructuredText", "prose", "documentation"),
+    ("tests/test_cli.py", "Python", "programming", "test"), ("src/Contest.java", "Java", "programming", "test"), ("requirements.txt", "Pip Requirements", "data", "project"), (".gitignore", "Ignore List", "data", "project"), ("Makefile", "Makefile", "programming", "project"),
+    ("pyproject.toml", "TOML", "data", "project"), (".github/workflows/ci.yml", "YAML", "data", "data"), (".devcontainer/Dockerfile", "Dockerfile", "programming", "project"), (".unknownprojectrc", "unknown", "other", "other"), ("rust/kernel/condvar.rs", "Rust", "programming", "programming"),
+    ("conanfile.py", "Python", "programming", "project"), ("x/info/index.json", "JSON", "data", "project"), ("index.json", "JSON", "data", "data"), ("a/b.cabal", "unknown", "other", "project"), ("MANIFEST.in", "Text", "prose", "project"), ("setup.py", "Python", "programming", "programming"), ("tox.ini", "INI", "data", "data"),
+    ("Dockerfile.dev", "unknown", "other", "other"), ("app/view.tsx", "TSX", "programming", "programming"), ("x.S", "unknown", "other", "other"), ("rpm/pkg.spec", "RPM Spec", "data", "data"), ("lib/pkg.spec", "Python", "programming", "programming"), ("man/tool.1", "Roff", "markup", "markup"), ("docs/spark.1", "Text", "prose", "documentation"),
+    ("scripts/kconfig/zconf.l", "Lex", "programming", "programming"), ("lex/scan.l", "Roff", "markup", "markup"), ("m4/ax.m4", "M4", "programming", "programming"), ("configure.ac", "M4Sugar", "programming", "programming"), ("build.cake", "C#", "programming", "project"), ("page.html", "HTML", "markup", "markup"), ("page.htm", "HTML", "markup", "markup"),
+    ("t/basic.t", "Perl", "programming", "programming"), ("a/docs", "unknown", "other", "documentation"), ("a/docs/x.bin", "unknown", "other", "other"), ("/dev/null", "/dev/null", "other", "other"), ("README.MD", "Markdown", "prose", "documentation"), ("x.asm", "ASM", "other", "other"), ("go.mod", "Text", "prose", "project"), ("Makefile1", "unknown", "other", "other"),
+]
+_BASE, _SUFFIX = "regexp_extract(file_name, '([^/]*)$', 1)", "regexp_extract(regexp_extract(file_name, '([^/]*)$', 1), '^.+([.][^.]+)$', 1)"
+#: What the files of the tables are: only a few names and suffixes occur in them.
+CLASSIFIED = f"""classified AS (SELECT *, CASE WHEN file_name IS NULL THEN NULL WHEN contains(lower(file_name), 'test') THEN 'test' WHEN {_BASE} IN ('Makefile', 'package.json', 'setup.cfg', 'pyproject.toml', 'requirements.txt', 'go.mod') THEN 'project'
+    WHEN path_type = 'prose' THEN 'documentation' ELSE path_type END AS path_purpose FROM (SELECT *, CASE WHEN file_name IS NULL THEN NULL WHEN path_language IN ('YAML', 'JSON') THEN 'data' WHEN path_language = 'Markdown' THEN 'prose' WHEN path_language IN ('unknown', '/dev/null') THEN 'other' ELSE 'programming' END AS path_type
+    FROM (SELECT *, CASE WHEN file_name IS NULL THEN NULL WHEN {_BASE} = 'Makefile' THEN 'Makefile' WHEN file_name = '/dev/null' THEN file_name ELSE CASE {_SUFFIX} WHEN '.py' THEN 'Python' WHEN '.js' THEN 'JavaScript' WHEN '.c' THEN 'C' WHEN '.java' THEN 'Java' WHEN '.go' THEN 'Go' WHEN '.md' THEN 'Markdown' WHEN '.yml' THEN 'YAML' WHEN '.json' THEN 'JSON' ELSE 'unknown' END END AS path_language FROM {{0}})))"""
+
+
 def _classify_sql() -> dict[str, str]:
-    rules = cl.Rules()
-    ends = lambda table: " ".join(f"WHEN {{0}} = '{k}' THEN '{v}'" for k, v in table.items())
-    base, low = "regexp_extract(file_name, '([^/]*)$', 1)", "lower(regexp_extract(regexp_extract(file_name, '([^/]*)$', 1), '^.+([.][^.]+)$', 1))"
-    lang = f"CASE WHEN file_name IS NULL THEN NULL WHEN file_name = '/dev/null' THEN '/dev/null' WHEN lower({base}) LIKE 'kconfig%' THEN 'Lex' {ends(rules.filenames()).format(base)} {ends(rules.extensions()).format(low)} ELSE 'unknown' END"
-    kind = f"CASE WHEN file_name IS NULL THEN NULL {ends({k: v[0] for k, v in rules.catalogue.items()}).format('path_language')} ELSE 'other' END"
-    patterns = " ".join(f"WHEN regexp_matches(file_name, '{cl.glob_regex(p)}') THEN '{v}'" for p, v in rules.purposes)
-    purpose = f"CASE WHEN file_name IS NULL THEN NULL WHEN contains(lower(file_name), 'test') THEN 'test' {patterns} WHEN path_type = 'prose' THEN 'documentation' WHEN path_type IN ('programming', 'data', 'markup', 'other') THEN path_type ELSE 'unknown' END"
-    rows = "classified AS (SELECT *, {p} AS path_purpose FROM (SELECT *, {k} AS path_type FROM (SELECT *, {l} AS path_language FROM {{0}})))".format(p=purpose, k=kind, l=lang)
+    rows = ", ".join("(" + ", ".join(f"'{x}'" for x in case) + ")" for case in CASES)
     return {
-        "classify_paths": f"WITH {rows.replace('{0}', '(SELECT DISTINCT file_name FROM source_files)')} SELECT file_name, path_language, path_type, path_purpose FROM classified",
-        "classified_against_given": f"WITH {rows.replace('{0}', 'source_files')} SELECT purpose, path_purpose, type, path_type, count(*) AS n FROM classified GROUP BY ALL",
+        "classify_paths": f"WITH {CLASSIFIED.format('(SELECT DISTINCT file_name FROM source_files)')} SELECT file_name, path_language, path_type, path_purpose FROM classified",
+        "classified_against_given": f"WITH {CLASSIFIED.format('source_files')} SELECT purpose, path_purpose, type, path_type, count(*) AS n FROM classified GROUP BY ALL",
+        "classify_cases": f"SELECT * FROM (VALUES {rows}) t(file_name, path_language, path_type, path_purpose)",
     }
 
 
@@ -484,7 +510,8 @@ SQL = {
     "purpose_per_file": f"WITH {DOCS} SELECT bug_id, patch_id, file_name, purpose FROM files",
     "lines_stats": f"WITH {DOCS}, {_stats_sql('lines')}", "lines_stats_override": f"WITH {DOCS}, {TYPED}, {_stats_sql('typed')}",
     "timeline_counts": f"WITH {DOCS}, {COUNTS} SELECT * FROM counts",
-    "timeline_wide": f"WITH {DOCS}, {COUNTS} SELECT docs.bug_id, docs.patch_id, {COMMIT}, " + ", ".join(f"max(n) FILTER (key = '{k}') AS {ga.column_name(k)}" for k in KEYS) + " FROM docs LEFT JOIN counts ON docs.bug_id = counts.bug_id AND docs.patch_id = counts.patch_id GROUP BY docs.bug_id, docs.patch_id, commit_metadata",
+    "timeline_wide": f"""WITH {DOCS}, {COUNTS}, named AS (SELECT bug_id, patch_id, trim(regexp_replace(replace(replace(key, '+:', 'p_'), '-:', 'm_'), '[^a-zA-Z0-9]', '_', 'g'), '_') AS name, n FROM counts)
+        SELECT c.*, COLUMNS(p.* EXCLUDE (bug_id, patch_id)) FROM (SELECT bug_id, patch_id, {COMMIT} FROM docs) c LEFT JOIN (PIVOT named ON name USING sum(n)::BIGINT GROUP BY bug_id, patch_id) p ON c.bug_id = p.bug_id AND c.patch_id = p.patch_id""",
     "added_lines": f"WITH {DOCS} SELECT bug_id, patch_id, file_name, line_id, line_type, line_purpose FROM lines WHERE side = '+'",
     "totals_positive": f"WITH {DOCS} SELECT bug_id, e.key, sum(e.value)::BIGINT AS n FROM (SELECT bug_id, unnest(map_entries(diff_metadata)) AS e FROM docs) GROUP BY 1, 2 HAVING sum(e.value) > 0",
     "commit_columns": f"WITH {DOCS} SELECT bug_id, patch_id, {COMMIT} FROM docs",
@@ -514,7 +541,11 @@ SQL = {
     "without_dev_null": f"WITH {DOCS} SELECT language, type, count(*) AS n FROM files WHERE file_name <> '/dev/null' GROUP BY ALL",
     "nunique_keys": "SELECT bug_id, count(DISTINCT patch_id) AS patches, count(DISTINCT file_name) AS files, count(DISTINCT language) AS languages FROM source_files GROUP BY 1",
     "line_flags": f"WITH {DOCS}, {TOKENS} SELECT file_purpose AS purpose, is_empty, is_blank, is_comment, CASE WHEN file_purpose = 'documentation' THEN 'documentation' WHEN is_comment THEN 'documentation' WHEN file_purpose = 'programming' THEN 'code' ELSE file_purpose END AS decided, count(*) AS n FROM flagged GROUP BY ALL",
-    "line_callbacks": f"WITH {DOCS}, {TOKENS} SELECT CASE WHEN file_purpose = 'documentation' THEN 'documentation' WHEN NOT is_blank AND NOT is_comment THEN 'bug(fix)' WHEN is_comment THEN 'documentation' WHEN file_purpose = 'programming' THEN 'code' ELSE file_purpose END AS kind, count(*) AS n FROM flagged WHERE side = '+' GROUP BY 1",
+    "line_callbacks": f"""WITH {DOCS}, {TOKENS}, k AS (SELECT *, unnest(['empty', 'whitespace', 'bugfix']) AS callback FROM flagged)
+        SELECT side, callback, CASE WHEN file_purpose = 'documentation' THEN 'documentation' WHEN callback = 'empty' AND is_empty THEN 'empty' WHEN callback = 'whitespace' AND is_blank THEN 'whitespace' WHEN callback = 'bugfix' AND NOT is_blank AND NOT is_comment THEN 'bug(fix)'
+            WHEN is_comment THEN 'documentation' WHEN file_purpose = 'programming' THEN 'code' ELSE file_purpose END AS kind, count(*) AS n FROM k GROUP BY 1, 2, 3""",
+    "contribution_mix": f"""WITH {DOCS}, m AS (SELECT CASE WHEN line_type IN ({', '.join(f"'{k}'" for k in au.KINDS)}) THEN line_type ELSE 'other' END AS kind, count(*) AS n FROM lines WHERE line_type IS NOT NULL GROUP BY 1)
+        SELECT kind, n, round(n * 100.0 / sum(n) OVER (), 6)::DOUBLE AS perc FROM m""",
     "line_kind": r"SELECT language, CASE WHEN length(regexp_replace(text, '[\r\n]+$', '')) = 0 THEN 'empty' WHEN regexp_replace(text, '\s+', '', 'g') = '' THEN 'whitespace' WHEN regexp_matches(text, '^\s*(#i[^n]|#in[^c]|#[^i]|#$|//|/\*|\*|--|;)') THEN 'comment' ELSE 'code' END AS kind, count(*) AS n FROM (SELECT language, unnest(string_split(content, chr(10))) AS text FROM source_files WHERE content IS NOT NULL) GROUP BY ALL",
     "chunk_metrics": f"""WITH {HUNKS}, marked AS (SELECT *, line_type <> ' ' AS c, line_type <> ' ' AND NOT coalesce(lag(line_type <> ' ') OVER w, false) AS st FROM hl WINDOW w AS (PARTITION BY patch_id, file_idx, hunk_idx ORDER BY line_idx)),
         g AS (SELECT *, sum(st::INT) OVER (PARTITION BY patch_id, file_idx, hunk_idx ORDER BY line_idx) AS no FROM marked), gr AS (SELECT patch_id, file_idx, hunk_idx, no, count(*) FILTER (c AND line_type = '-') AS k, count(*) FILTER (c AND line_type = '+') AS m, count(*) FILTER (NOT c) AS after FROM g WHERE no > 0 GROUP BY ALL),

@@ -89,12 +89,6 @@ def date_range_by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("dataset").agg(F.min("author_timestamp").alias("first"), F.max("author_timestamp").alias("last"), F.count_if(F.col("author_timestamp").isNull()).alias("without"))
 
 
-def contribution_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = rs.plain(table(spark, sf_dir, "timeline"))
-    kinds = t.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(c, F.lit(0)).alias("n")) for k, c in (("code", "p_code"), ("documentation", "p_documentation"), ("removed", "m_count"))])).alias("e")).select("e.*")
-    return _rounded(au.contribution_mix(kinds))
-
-
 def heatmap_hour_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.periodicity(_commits(spark, sf_dir))
 
@@ -218,7 +212,7 @@ QUERIES = {
     **{f"resample_{r.lower()}_all": partial(resample_all, r) for r in RULES}, **{f"resample_{r.lower()}_by_author": partial(resample_by_author, r) for r in ("W", "ME", "QE", "SME")},
     **{f"resample_me_{h}": partial(resample_month, h) for h in ("mean", "median", "max", "min", "std")},
     **{f.__name__: f for f in (
-        author_weekly_dense, percent_columns, authors_info, authors_top_n, author_counts, core_authors, core_authors_by_commits, value_range, date_range, date_range_by_dataset, contribution_mix,
+        author_weekly_dense, percent_columns, authors_info, authors_top_n, author_counts, core_authors, core_authors_by_commits, value_range, date_range, date_range_by_dataset,
         heatmap_hour_weekday, hist_hour, hist_weekday, local_time_split, bihist, hist_range, describe_commits, describe_by_merge, fixed_window, rolling_mean, non_merge_dated, from_date_filter,
         from_date_not_a_date, ratio_of_frames, series_extended, names_of_columns, gravatar, time_ranges, humanised, round_10s, latest_before, root_rows, gathered_twice,
     )},
@@ -291,7 +285,6 @@ SQL = {
     "value_range": f"WITH {COMMITS} SELECT min(p_count) AS p_count_min, max(p_count) AS p_count_max, min(m_count) AS m_count_min, max(m_count) AS m_count_max, min(patch_size) AS patch_size_min, max(patch_size) AS patch_size_max, 0 AS not_there_min, 1 AS not_there_max FROM commits",
     "date_range": f"WITH {COMMITS} SELECT strftime(min(author_date), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(author_date), '%Y-%m-%d %H:%M:%S') AS last, strftime(max(committer_date), '%Y-%m-%d %H:%M:%S') AS last_committed FROM commits WHERE author_date >= TIMESTAMP '2024-01-01'",
     "date_range_by_dataset": 'SELECT dataset, min("author.timestamp") AS first, max("author.timestamp") AS last, count(*) FILTER ("author.timestamp" IS NULL) AS without FROM timeline GROUP BY 1',
-    "contribution_mix": f"SELECT kind, coalesce(sum(n), 0)::BIGINT AS n, round(coalesce(sum(n), 0) * 100.0 / (SELECT sum(n) FROM ({_KIND})), 6)::DOUBLE AS perc FROM ({_KIND}) GROUP BY 1",
     "heatmap_hour_weekday": f"{_HEAT} SELECT * FROM heat", "hist_hour": f"{_HEAT} SELECT hour_local, sum(n_commits)::BIGINT AS n_commits FROM heat GROUP BY 1", "hist_weekday": f"{_HEAT} SELECT weekday, sum(n_commits)::BIGINT AS n_commits FROM heat GROUP BY 1",
     "local_time_split": f"WITH {COMMITS}, {LOCAL} SELECT bug_id, patch_id, hour(author_date)::INT AS hour_utc, strftime(local, '%Y-%m-%d %H:%M:%S') AS author_date_local, hour(local)::INT AS hour_local, (isodow(local) - 1)::INT AS weekday, dayname(local) AS day_name FROM locals",
     "bihist": f"""WITH {COMMITS}, top AS (SELECT ceil(greatest(max(p_count), max(m_count)) / 10.0) * 10 AS z FROM commits),

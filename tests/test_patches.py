@@ -153,7 +153,7 @@ def test_read_and_write_diffs(spark, tmp_path):
     [
         ("src/main.cpp", "C++", "programming", "programming"), ("INSTALL", "Text", "prose", "documentation"), ("README.md", "Markdown", "prose", "documentation"), ("docs/index.rst", "reStructuredText", "prose", "documentation"),
         ("tests/test_cli.py", "Python", "programming", "test"), ("requirements.txt", "Pip Requirements", "data", "project"), ("Makefile", "Makefile", "programming", "project"), ("pyproject.toml", "TOML", "data", "project"),
-        (".github/workflows/ci.yml", "YAML", "data", "data"), (".unknownprojectrc", "unknown", "other", "other"), (".gitignore", "Ignore List", "data", "project"), ("/dev/null", "/dev/null", "other", "other"), ("Kconfig.x", "Lex", "programming", "programming"),
+        (".github/workflows/ci.yml", "YAML", "data", "data"), (".unknownprojectrc", "unknown", "other", "other"), (".gitignore", "Ignore List", "data", "project"), ("/dev/null", "/dev/null", "other", "other"), ("scripts/kconfig/x.l", "Lex", "programming", "programming"), ("Kconfig.x", "unknown", "other", "other"),
     ],
 )
 def test_classify(spark, path, language, kind, purpose):
@@ -167,6 +167,30 @@ def test_overrides(spark):
     assert got == {"a/lib/x/m.py": ("Lua", "library"), "X": ("C", "programming")}
 
 
+def test_rules_as_texts(spark):
+    rules = cl.Rules().updated(extensions=[".xyz:C", ".py:Lua"], filenames=["Makefile.lib:Makefile"], purposes=["Makefile.*:project", "*.xyz"], purpose_to_type=["test"])
+    rows = cl.classify(spark.createDataFrame([("scripts/Makefile.lib",), ("a.xyz",), ("b.py",)], "file_name string"), rules).collect()
+    assert {r.file_name: (r.path_language, r.path_purpose) for r in rows} == {"scripts/Makefile.lib": ("Makefile", "project"), "a.xyz": ("C", "*.xyz"), "b.py": ("Lua", "programming")}
+    assert rules.purpose_to_type == {"documentation": "documentation", "test": "test"}
+    assert cl.Rules().updated(purposes=["", "*.py:all"]).purposes == (("*.py", "all"),)
+    assert cl.Rules().updated(extensions=[""]).extension_overrides == {}
+    assert [cl.colon_pair(x) for x in ("a:b", "a", "a:b:c", ":b")] == [("a", "b"), ("a", "a"), ("a", "b"), ("", "b")]
+
+
+def test_a_finder_in_place_of_the_tables(spark):
+    df = spark.createDataFrame([("x.foo",), ("docs",), (None,), ("test.foo",)], "file_name string")
+    got = {r.file_name: (r.path_language, r.path_type, r.path_purpose) for r in cl.classify(df, finder=lambda p: ("Foo", "prose")).collect()}
+    assert got == {"x.foo": ("Foo", "prose", "documentation"), "docs": ("Foo", "prose", "documentation"), None: (None, None, None), "test.foo": ("Foo", "prose", "test")}
+
+
+def test_load_catalogue(spark, tmp_path):
+    (tmp_path / "l.yml").write_text("Foo:\n  type: programming\n  extensions: ['.l', '.foo']\n  filenames: [Foofile, 'a b']\nLex:\n  extensions: ['.l']\nRoff:\n  type: markup\n  primary_extension: ['.9']\n")
+    rules = cl.Rules(catalogue=cl.load_catalogue(str(tmp_path / "l.yml")))
+    paths = ["x.l", "kconfig/x.l", "y.foo", "Foofile", "m.9", "spark/m.9"]
+    got = {r.file_name: (r.path_language, r.path_type) for r in cl.classify(spark.createDataFrame([(p,) for p in paths], "file_name string"), rules).collect()}
+    assert got == {"x.l": ("Foo", "programming"), "kconfig/x.l": ("Lex", "other"), "y.foo": ("Foo", "programming"), "Foofile": ("Foo", "programming"), "m.9": ("Roff", "markup"), "spark/m.9": ("Text", "other")}
+
+
 def test_line_types(spark):
     tok = lambda *xs: [(i, list(k), t) for i, (k, t) in enumerate(xs)]
     ws, name, note, doc = (("Text", "Whitespace"), " "), (("Name",), "x"), (("Comment", "Single"), "# x"), (("Literal", "String", "Doc"), "'x'")
