@@ -1,8 +1,10 @@
 """Consolidation of very many small files: a frozen manifest, cut into groups of about one target size.
 
-Documents are taken out of the files, one per key, and frozen as a table. The plan is SQL only: documents are
-ordered by (hash bucket, key), their bytes summed by window, and the running sum is cut at multiples of the target
-size. Each group is then written as one file, and counts, bytes and a checksum of the keys are reconciled.
+Documents are taken out of the files and frozen as a table. Its manifest, keys and sizes without contents, has one row for each
+key. The plan is SQL only: the manifest is ordered by (hash bucket, key), its bytes summed by window, and the running sum is
+cut at multiples of the target size, so that a group is an interval of keys. Contents are shuffled once: each goes to its
+group by the intervals' starts, where the newest one of each key is kept and written. Counts, bytes and a checksum of the keys
+are reconciled.
 """
 
 from __future__ import annotations
@@ -13,16 +15,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from diffloom.session import new_path, remove
+from diffloom.session import cut, new_path, release, remove
 
 #: Size a written group should have.
 TARGET_BYTES = 128 * 1024 * 1024
-#: Into so many hash buckets the manifest is ordered; the only window that isn't partitioned has as many rows.
-BUCKETS = 4096
+#: Into at least, and at most, so many hash buckets the manifest is ordered, one for each group in between; the only window that
+#: isn't partitioned has as many rows.
+BUCKETS, BUCKETS_MOST = 4096, 1 << 20
+#: Starts of groups, one for each bucket and group that meet, up to which they go to every task (about 100 bytes each).
+SENT_STARTS = 2_000_000
 
 DOCUMENT_SCHEMA = T.StructType(
     [
@@ -112,20 +117,12 @@ def split_documents(files: DataFrame) -> DataFrame:
 
     Null and empty contents give no rows; a document of which neither the file's name nor its own metadata tell the
     patch gives none. Other columns of ``files``, whatever their names, are ignored. Rows listed twice give their
-    documents twice; :func:`latest` drops them.
+    documents twice; :func:`compact` keeps one.
     """
     columns = ["file_path", "bug_id", "patch_id", "modified_at", "content"]
     return files.select(*columns).mapInPandas(_split, DOCUMENT_SCHEMA)
 
 
-def latest(documents: DataFrame, keys: tuple[str, ...] = ("bug_id", "patch_id")) -> DataFrame:
-    """One document per key: the one modified last (null is oldest); then the larger, then the greater text."""
-    rest = [c for c in documents.columns if c not in keys]
-    order = F.struct(F.coalesce("modified_at", F.lit("0001-01-01").cast("timestamp")), "n_bytes", "document")
-    best = documents.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("best"))
-    return best.select(*keys, *[F.col(f"best.{c}").alias(c) for c in rest])
-
-
 @dataclass(frozen=True)
 class Compacted:
     """What :func:`compact` wrote: the table, its folder, and one row per group with its rows and bytes."""
@@ -137,61 +134,99 @@ class Compacted:
 
 PLAN = """
 WITH manifest AS (
-    SELECT {keys}, coalesce({size}, 0L) AS bytes, pmod(xxhash64({keys}), {buckets}) AS bucket FROM {{frozen}}
+    SELECT {keys}, coalesce({size}, 0L) AS bytes, {bucket} AS bucket FROM {{frozen}}
 ), bases AS (
     SELECT bucket, sum(bytes) OVER (ORDER BY bucket ROWS UNBOUNDED PRECEDING) - bytes AS base
     FROM (SELECT bucket, sum(bytes) AS bytes FROM manifest GROUP BY bucket)
 ), positions AS (
-    SELECT {keys}, manifest.bytes,
+    SELECT {keys}, manifest.bytes, manifest.bucket,
            bases.base + sum(manifest.bytes) OVER (PARTITION BY manifest.bucket ORDER BY {keys} ROWS UNBOUNDED PRECEDING)
                - manifest.bytes AS start
     FROM manifest JOIN bases ON manifest.bucket = bases.bucket
 )
-SELECT {keys}, bytes, CAST(start DIV {target} AS INT) AS group_no FROM positions
+SELECT {keys}, bytes, bucket, CAST(start DIV {target} AS INT) AS group_no FROM positions
 """
 
 
-def plan_groups(frozen: DataFrame, keys: tuple[str, ...], size: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """The group of each row of the frozen manifest; ``keys`` must be unique in it.
+def _quoted(keys: tuple[str, ...]) -> str:
+    return ", ".join(f"`{k}`" for k in keys)
+
+
+def _bucket(keys: tuple[str, ...], buckets: int) -> str:
+    return f"pmod(xxhash64({_quoted(keys)}), {buckets})"
+
+
+def plan_groups(frozen: DataFrame, keys: tuple[str, ...], size: str, target_bytes: int = TARGET_BYTES, buckets: int = BUCKETS) -> DataFrame:
+    """The bucket and group of each row of the frozen manifest; ``keys`` must be unique in it.
 
     Every group starts within its own interval of ``target_bytes``, so that no group holds more than the target and
     one row. A null size counts as 0 bytes. An empty manifest gives an empty plan.
     """
-    text = PLAN.format(keys=", ".join(f"`{k}`" for k in keys), size=f"`{size}`", buckets=BUCKETS, target=int(target_bytes))
+    text = PLAN.format(keys=_quoted(keys), size=f"`{size}`", bucket=_bucket(keys, buckets), target=int(target_bytes))
     return frozen.sparkSession.sql(text, frozen=frozen)
 
 
+def group_starts(plan: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(bucket, starts): in each bucket, the first key and the number of each group that has rows there, in order."""
+    first = plan.groupBy("bucket", "group_no").agg(F.min(F.struct(*keys)).alias("first"))
+    return first.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("first", "group_no"))).alias("starts"))
+
+
 def _totals(df: DataFrame, keys: tuple[str, ...], size: str) -> tuple:
     # decimals, as the sum of many hashes doesn't fit a bigint
     hashes = F.sum(F.xxhash64(*keys).cast("decimal(38,0)"))
     return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(hashes, F.lit(0))).first())
 
 
+def _free(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
 def compact(
-    rows: DataFrame, keys: tuple[str, ...] = ("bug_id", "patch_id"), size: str = "n_bytes", target_bytes: int = TARGET_BYTES, path: str | None = None
+    rows: DataFrame, keys: tuple[str, ...] = ("bug_id", "patch_id"), size: str = "n_bytes", target_bytes: int = TARGET_BYTES, path: str | None = None, newest: tuple[str, ...] = (), sent_starts: int = SENT_STARTS
 ) -> Compacted:
-    """Write ``rows``, unique by ``keys``, as few files of about ``target_bytes`` each.
+    """Write ``rows`` as few files of about ``target_bytes`` each, one row for each of ``keys``.
 
-    ``rows`` is frozen first, so that planning and writing see the same rows even if the source changes or an executor
-    is lost. Raises ``RuntimeError`` if written and frozen rows, bytes or keys differ, as they do for repeated or null keys.
-    Other columns are written as they are, also one named ``group_no``. An empty input writes one empty file.
+    Of rows with equal keys the one that is greatest by the columns ``newest``, nulls being least, is kept; without ``newest`` the keys
+    must be unique. ``rows`` is frozen first, so that planning and writing see the same rows even if the source changes or an executor is
+    lost. Raises ``RuntimeError`` if a key is null, if it is repeated without ``newest``, or if written rows, bytes or keys differ from
+    the manifest's. Other columns are written as they are, also one named ``group_no``; each file is sorted by key. ``sent_starts`` changes
+    the plan, never the rows. An empty input writes one empty file.
     """
     spark = rows.sparkSession
     at, path = new_path(spark, "frozen"), path or new_path(spark, "compacted")
     try:
         rows.write.parquet(at)
         frozen = spark.read.schema(rows.schema).parquet(at)
-        plan = plan_groups(frozen, keys, size, target_bytes)
-        before = _totals(frozen, keys, size)
-        n_groups = max(1, -(-before[1] // int(target_bytes)))
-        group = "group_no"
-        while group in rows.columns:
-            group += "_"
-        grouped = frozen.join(plan.select(*keys, F.col("group_no").alias(group)), list(keys))
-        grouped.repartitionById(n_groups, F.col(group)).write.mode("overwrite").parquet(path)
+        # the manifest reads keys, sizes and what tells the newest, no contents
+        size_of = F.max_by(F.col(size), F.struct(*newest)) if newest else F.max(size)
+        manifest = cut(frozen.groupBy(*keys).agg(size_of.alias(size), F.count(F.lit(1)).alias(_free("n", rows.columns))))
+        count, every, hashes, listed, nulls = manifest.agg(
+            F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.xxhash64(*keys).cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.sum(_free("n", rows.columns)), F.lit(0)),
+            F.count_if(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 1),
+        ).first()
+        if nulls or (not newest and listed != count):
+            raise RuntimeError(f"{nulls} keys are null, and {listed} rows have {count} keys")
+        n_groups = max(1, -(-every // int(target_bytes)))
+        buckets = min(max(BUCKETS, n_groups), BUCKETS_MOST)
+        starts = group_starts(plan_groups(manifest, keys, size, target_bytes, buckets), keys)
+        group, bucket = _free("group_no", rows.columns), _free("bucket", rows.columns)
+        starts = starts.select(F.col("bucket").alias(bucket), F.col("starts").alias("_starts"))
+        placed = frozen.withColumn(bucket, F.expr(_bucket(keys, buckets))).join(F.broadcast(starts) if n_groups + buckets <= sent_starts else starts, bucket)
+        number = F.element_at(F.filter("_starts", lambda x: x["first"] <= F.struct(*keys)), -1)["group_no"]
+        grouped = placed.select(*rows.columns, number.alias(group)).repartitionById(n_groups, F.col(group))
+        if newest:
+            # a key's rows are in one group: no other shuffle
+            rank = _free("rank", rows.columns)
+            by = Window.partitionBy(group, *keys).orderBy(*[F.col(c).desc_nulls_last() for c in newest])
+            grouped = grouped.withColumn(rank, F.row_number().over(by)).filter(F.col(rank) == 1).drop(rank)
+        grouped.sortWithinPartitions(group, *keys).write.mode("overwrite").parquet(path)
+        release(manifest)
         written = spark.read.parquet(path)
-        after = _totals(written, keys, size)
-        if tuple(before) != tuple(after):
+        before, after = (count, every, hashes), _totals(written, keys, size)
+        if before != after:
             raise RuntimeError(f"{path} holds rows, bytes and keys {after}, but {before} were frozen")
     finally:
         remove(spark, at)
@@ -200,5 +235,10 @@ def compact(
 
 
 def compact_annotation_files(files: DataFrame, target_bytes: int = TARGET_BYTES, path: str | None = None) -> Compacted:
-    """The annotation documents of very many small JSON files, each (bug_id, patch_id) once, in few files."""
-    return compact(latest(split_documents(files)), target_bytes=target_bytes, path=path)
+    """The annotation documents of very many small JSON files, each (bug_id, patch_id) once, in few files.
+
+    Of several documents of a key the one modified last is kept (null is oldest); then the larger, then the one of the greater digest.
+    """
+    documents = split_documents(files).withColumn("digest", F.sha2("document", 256))
+    done = compact(documents, target_bytes=target_bytes, path=path, newest=("modified_at", "n_bytes", "digest"))
+    return Compacted(done.table.drop("digest"), done.path, done.groups)

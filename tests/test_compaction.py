@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from diffloom.operators.compaction import (
-    clean_bug, clean_patch, compact, compact_annotation_files, documents_in, latest, layout_of, plan_groups, split_documents,
+    clean_bug, clean_patch, compact, compact_annotation_files, documents_in, layout_of, plan_groups, split_documents,
 )
 
 A, B, C = "a" * 40, "b" * 40, "c" * 40
@@ -103,12 +103,34 @@ def test_repeated_keys_are_refused(spark):
         compact(rows, ("k",), "n", target_bytes=3)
 
 
-def test_latest_breaks_ties(spark):
+@pytest.mark.parametrize("sent_starts", [10**6, 0])
+def test_newest_is_kept(spark, sent_starts):
+    early, late = datetime(2024, 1, 1), datetime(2024, 2, 1)
     rows = spark.createDataFrame(
-        [("b", "p", "v1", 2, None, "zz"), ("b", "p", "v1", 2, None, "aa"), ("b", "p", "v1", 1, None, "zzz")],
-        "bug_id string, patch_id string, layout string, n_bytes bigint, modified_at timestamp, document string",
+        [("b", "p", 2, None, "zz", "x"), ("b", "p", 2, None, "aa", "x"), ("b", "p", 9, None, "a", "y"), ("c", "p", 1, early, "old", "x"), ("c", "p", 1, late, "new", "x"), ("c", "p", 1, late, "new", "x"), ("c", "q", None, None, None, None)],
+        "bug_id string, patch_id string, n_bytes bigint, modified_at timestamp, document string, rank string",
     )
-    assert [r.document for r in latest(rows).collect()] == ["zz"]
+    done = compact(rows, target_bytes=3, newest=("modified_at", "n_bytes", "document"), sent_starts=sent_starts)
+    assert sorted((r.bug_id, r.patch_id, r.document) for r in done.table.collect()) == [("b", "p", "a"), ("c", "p", "new"), ("c", "q", None)]
+    assert done.table.columns == rows.columns
+    assert done.groups.agg(F.sum("bytes")).first()[0] == 10
+
+
+def test_contents_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """The plan that writes has one exchange of contents, however often a key is repeated."""
+    plans = []
+    from pyspark.sql import DataFrameWriter
+
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, **k: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), real(self, path, **k))[1])
+    rows = spark.range(50).select((F.col("id") % 40).alias("k"), F.col("id").alias("n"), F.lit("text").alias("content"))
+    compact(rows, ("k",), "n", target_bytes=100, path=str(tmp_path / "out"), newest=("n",))
+    exchanges = [line for line in plans[-1].splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    contents = [line for line in exchanges if "REPARTITION" in line.upper()]
+    assert len(contents) == 1
+    assert "REPARTITION" in exchanges[0].upper()  # none above it
+    table = spark.read.parquet(str(tmp_path / "out"))
+    assert table.count() == 40 and table.select(F.max("n")).first()[0] == 49
 
 
 def test_long_documents(spark):
