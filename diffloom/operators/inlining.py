@@ -2,10 +2,12 @@
 
 The schema is analysed as a graph. Structs that occur once below their parent are inlined into its row. Arrays and
 maps are repeated and get a table of their own; repeated fields of one parent with the same element type share a
-table, told apart by a column ``branch``. Spark schemas are finite, so an element that contains itself can't occur.
+table, told apart by a column ``branch``. Schemas are finite, those that Spark infers from JSON too, so an element that
+contains itself can't occur: each level of such a record is a type of its own.
 
 Every row bears its parent's whole key, which is the foreign key, and its own part: ``<table>_key`` for an entry of a
-map, ``<table>_pos`` for one of an array. The root's key is made of its natural key and ``doc_no``.
+map, ``<table>_pos`` for one of an array. The root's key is made of its natural key and ``doc_no``. Elements of one struct type
+below different parents share a table too: ``parent`` names the parent's table, and key columns of other parents are null.
 """
 
 from __future__ import annotations
@@ -76,12 +78,26 @@ def _at(base: Column, path: tuple[str, ...]) -> Column:
     return base
 
 
+#: First hex digits of a digest by which the records of a key are numbered in parts.
+DIGITS = 3
+
+
 def numbered(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """``rows`` without repeated documents; ``doc_no`` counts the different ones of a key from 0. Nulls are keys too."""
-    w = Window.partitionBy(*keys).orderBy("_digest")
+    """``rows`` without repeated documents; ``doc_no`` counts the different ones of a key from 0. Nulls are keys too.
+
+    Numbers are given to digests alone, a key's digests in parts, so that no key, and no null, is one task. Records are shuffled
+    once, by digest, copies are dropped before.
+    """
     marked = rows.withColumn("_digest", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])), 256))
-    marked = marked.withColumn("doc_no", F.dense_rank().over(w) - 1).withColumn("_copy", F.row_number().over(Window.partitionBy(*keys, "doc_no").orderBy("_digest")))
-    return marked.filter("_copy = 1").drop("_digest", "_copy")
+    once = marked.withColumn("_copy", F.row_number().over(Window.partitionBy("_digest").orderBy(F.lit(1)))).filter("_copy = 1").drop("_copy")
+    # nulls are named, as null keys don't meet in joins
+    named = [F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys])).alias("_key")] if keys else [F.lit("").alias("_key")]
+    ids = marked.select(*named, "_digest", F.substring("_digest", 1, DIGITS).alias("_part")).distinct()
+    parts = ids.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.withColumn("_base", F.sum("_n").over(Window.partitionBy("_key").orderBy("_part")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_digest")) - 1
+    numbers = ids.withColumn("_at", inside).join(parts, ["_key", "_part"]).select("_digest", (F.col("_base") + F.col("_at")).cast("int").alias("doc_no"))
+    return once.join(numbers, "_digest").drop("_digest").select(*[F.col(f"`{c}`") for c in rows.columns], "doc_no")
 
 
 def shared_inline(
@@ -111,7 +127,31 @@ def shared_inline(
     tables: dict[str, DataFrame] = {}
     base = records.select(*keys, "doc_no", F.struct(*[F.col(f"`{f.name}`") for f in node.element.fields]).alias("_e"))
     _emit(base, [*keys, "doc_no"], node, tables, carry or {})
-    return tables
+    return _share(node, tables)
+
+
+def _share(root: Node, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``tables`` in which elements of one struct type below different parents have one table, named by the first."""
+    found: dict[str, list[tuple[str, str]]] = {}
+
+    def walk(node: Node) -> None:
+        for child in node.children:
+            if isinstance(child.element, T.StructType):
+                found.setdefault(child.element.json(), []).append((child.name, node.name))
+            walk(child)
+
+    walk(root)
+    out = dict(tables)
+    for group in found.values():
+        if len(group) < 2:
+            continue
+        union = None
+        for name, parent in group:
+            rows = out.pop(name)
+            rows = rows.withColumn("parent_" if "parent" in rows.columns else "parent", F.lit(parent))
+            union = rows if union is None else union.unionByName(rows, allowMissingColumns=True)
+        out[group[0][0]] = union
+    return out
 
 
 def _emit(base: DataFrame, key: list[str], node: Node, tables: dict[str, DataFrame], carry: dict[str, tuple[str, ...]]) -> None:

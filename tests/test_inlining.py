@@ -31,7 +31,7 @@ def rows(spark):
     )
 
 
-def test_graph():
+def test_graph(spark):
     from pyspark.sql.types import _parse_datatype_string
 
     node = analyse(_parse_datatype_string(SCHEMA), names={("changes",): "files", ("changes", "+"): "lines"})
@@ -97,3 +97,22 @@ def test_long_lists(spark, n):
     df = spark.range(1).select(F.col("id").alias("k"), F.sequence(F.lit(1), F.lit(n)).alias("xs"))
     t = shared_inline(df, ("k",), materialise=False)
     assert t["xs"].count() == n
+
+
+def test_one_type_below_different_parents_shares_a_table(spark):
+    person = "struct<name:string,mails:array<struct<box:string>>>"
+    rows = spark.createDataFrame([("k", [("a", [("m1",), ("m2",)])], {"x": [("b", [("m3",)]), None]})], f"id string, authors array<{person}>, groups map<string,array<{person}>>")
+    t = shared_inline(rows, ("id",))
+    people = {(r.parent, r.authors_pos, r.name, r.n_authors_mails if "n_authors_mails" in r else None) for r in t["authors"].collect()}
+    assert {(p, n) for p, _, n, _ in people} == {("root", "a"), ("groups", "b"), ("groups", None)}
+    mails = t["authors_mails"].collect()
+    assert {r.box for r in mails} == {"m1", "m2", "m3"}
+    assert len([x for x in t if "mails" in x]) == 1
+    assert all((r.authors_pos is None) != (r.groups_key is None) for r in mails)
+
+
+def test_numbers_of_null_keys(spark):
+    rows = spark.createDataFrame([(None, i % 7) for i in range(30)] + [("k", 1), ("k", 2), ("k", 2)], "id string, v int")
+    got = [(r.id, r.doc_no) for r in numbered(rows, ("id",)).collect()]
+    assert sorted(n for k, n in got if k is None) == list(range(7))
+    assert sorted(n for k, n in got if k == "k") == [0, 1]
