@@ -239,6 +239,6 @@ def compact_annotation_files(files: DataFrame, target_bytes: int = TARGET_BYTES,
 
     Of several documents of a key the one modified last is kept (null is oldest); then the larger, then the one of the greater digest.
     """
-    documents = split_documents(files).withColumn("digest", F.sha2("document", 256))
+    documents = split_documents(files).withColumn("digest", F.unhex(F.sha2("document", 256)))
     done = compact(documents, target_bytes=target_bytes, path=path, newest=("modified_at", "n_bytes", "digest"))
     return Compacted(done.table.drop("digest"), done.path, done.groups)

@@ -6,7 +6,8 @@ table, told apart by a column ``branch``. Schemas are finite, those that Spark i
 contains itself can't occur: each level of such a record is a type of its own.
 
 Every row bears its parent's whole key, which is the foreign key, and its own part: ``<table>_key`` for an entry of a
-map, ``<table>_pos`` for one of an array. The root's key is made of its natural key and ``doc_no``. Elements of one struct type
+map, ``<table>_pos`` for one of an array. The root's key is made of its natural key and ``doc_no``, a
+number of the record's content. Elements of one struct type
 below different parents share a table too: ``parent`` names the parent's table, and key columns of other parents are null.
 """
 
@@ -78,26 +79,21 @@ def _at(base: Column, path: tuple[str, ...]) -> Column:
     return base
 
 
-#: First hex digits of a digest by which the records of a key are numbered in parts.
-DIGITS = 3
+#: Hex digits of a record's digest in its number: 60 bits tell the records of one key apart.
+DIGITS = 15
 
 
 def numbered(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """``rows`` without repeated documents; ``doc_no`` counts the different ones of a key from 0. Nulls are keys too.
+    """``rows`` without repeated documents; ``doc_no`` tells the different ones of a key apart, and is the same in every run.
 
-    Numbers are given to digests alone, a key's digests in parts, so that no key, and no null, is one task. Records are shuffled
-    once, by digest, copies are dropped before.
+    The number is made of the record's own digest, so that no key, however often it occurs or whether it is null, is counted
+    through in one task. Records are shuffled once, by digest; copies are dropped before. Nulls are keys too.
     """
-    marked = rows.withColumn("_digest", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])), 256))
-    once = marked.withColumn("_copy", F.row_number().over(Window.partitionBy("_digest").orderBy(F.lit(1)))).filter("_copy = 1").drop("_copy")
-    # nulls are named, as null keys don't meet in joins
-    named = [F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys])).alias("_key")] if keys else [F.lit("").alias("_key")]
-    ids = marked.select(*named, "_digest", F.substring("_digest", 1, DIGITS).alias("_part")).distinct()
-    parts = ids.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    parts = parts.withColumn("_base", F.sum("_n").over(Window.partitionBy("_key").orderBy("_part")) - F.col("_n")).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_digest")) - 1
-    numbers = ids.withColumn("_at", inside).join(parts, ["_key", "_part"]).select("_digest", (F.col("_base") + F.col("_at")).cast("int").alias("doc_no"))
-    return once.join(numbers, "_digest").drop("_digest").select(*[F.col(f"`{c}`") for c in rows.columns], "doc_no")
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])), 256)
+    marked = rows.withColumn("_digest", F.unhex(digest))
+    marked = marked.withColumn("_copy", F.row_number().over(Window.partitionBy("_digest").orderBy(F.lit(1)))).filter("_copy = 1")
+    number = F.conv(F.substring(F.hex("_digest"), 1, DIGITS), 16, 10).cast("bigint")
+    return marked.withColumn("doc_no", number).drop("_digest", "_copy")
 
 
 def shared_inline(
