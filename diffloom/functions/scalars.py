@@ -92,6 +92,18 @@ def parent(path: Column) -> Column:
     return F.when(path.contains("/"), F.nullif(F.regexp_replace(path, "/[^/]*$", ""), F.lit(""))).otherwise(".")
 
 
+def adjusted_depth(path: Column) -> Column:
+    """Parts of a path, of which a last ``*`` is none."""
+    return depth(path) - F.endswith(path, F.lit("/*")).cast("int")
+
+
+def adjusted_name(path: Column) -> Column:
+    """The last part of a path; with ``*`` or ``**`` after it if it ends so, and after dots, one for each part."""
+    stem = F.regexp_replace(path, r"/\*{1,2}$", "")
+    tail = F.substr(path, F.length(F.regexp_extract(stem, r"^(.*/)?", 0)) + 1)
+    return F.when(stem.contains("/"), F.concat(F.repeat(F.lit("."), adjusted_depth(path)), tail)).otherwise(path)
+
+
 def ancestors(path: Column) -> Column:
     """Array of {parent, child} links from a path up to the root ``.``; an absolute path ends at ``/``."""
     absolute = path.startswith("/")

@@ -236,3 +236,16 @@ CALLBACKS = {
     "whitespace": lambda tokens: F.when(line_is_whitespace(tokens), "whitespace"),
     "bugfix": lambda tokens: F.when(line_is_whitespace(tokens) | line_is_comment(tokens), None).otherwise("bug(fix)"),
 }
+
+
+def python_callback(function: Callable[[list[tuple[int, list[str], str]]], str | None]) -> Callable[[Column], Column]:
+    """A callback made of a Python function of a line's tokens, (offset, type, text) each; it runs in Arrow batches.
+
+    Only functions are taken, never their text. Where columns can say the same, as in :data:`CALLBACKS`, they are faster.
+    """
+
+    @F.pandas_udf("string")
+    def run(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda tokens: function([(t["idx"], list(t["type"] if t["type"] is not None else ()), t["text"]) for t in (tokens if tokens is not None else ())]))
+
+    return lambda tokens: run(tokens)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.functions.scalars import ancestors, depth, parent, shorten
+from diffloom.functions.scalars import adjusted_depth, ancestors, parent
 
 
 def summed(edges: DataFrame) -> DataFrame:
@@ -53,15 +53,10 @@ def own_files(edges: DataFrame) -> DataFrame:
     return summed(marked.select(F.explode(links).alias("e"), "n").select("e.src", "e.dst", "n"))
 
 
-def node_depth(path: Column) -> Column:
-    """Parts of a node's path, of which a last ``*`` is none."""
-    return depth(path) - F.endswith(path, F.lit("/*")).cast("int")
-
-
 def limit_depth(edges: DataFrame, most: int) -> DataFrame:
     """Edges between nodes of at most ``most`` parts: deeper nodes become ``.../**`` of their first parts, links among them vanish."""
     short = lambda c: F.when(F.size(F.split(c, "/")) > most, F.concat(F.array_join(F.slice(F.split(c, "/"), 1, most), "/"), F.lit("/**"))).otherwise(F.col(c))
-    deep = lambda c: node_depth(F.col(c)) > most
+    deep = lambda c: adjusted_depth(F.col(c)) > most
     to_kind = kind_of_node(F.col("dst"))
     kept = edges.filter(to_kind | ~(deep("src") & deep("dst")))
     return summed(kept.select(F.when(to_kind & deep("src"), short("src")).otherwise(F.col("src")).alias("src"), F.when(~to_kind & deep("dst"), short("dst")).otherwise(F.col("dst")).alias("dst"), "n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,10 +87,13 @@ def pivot_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By dataset, how many bugs have tests at least as often as documentation and as fixes, and so on."""
-    s = ag.shares_by(_clean(spark, sf_dir), ["bug", "ds"], "label", LABELS)
-    orders = [("test", "documentation", "bugfix"), ("test", "bugfix", "documentation"), ("documentation", "test", "bugfix"), ("documentation", "bugfix", "test"), ("bugfix", "test", "documentation"), ("bugfix", "documentation", "test")]
-    counts = [F.count_if((F.col(a) >= F.col(b)) & (F.col(b) >= F.col(c))).alias(f"{a[0]}{b[0]}{c[0]}") for a, b, c in orders]
+    """By dataset, how many bugs have tests at least as often as documentation and that as fixes, and so on for each order.
+
+    Bugs are told apart by whether any label is refactoring or other (``_tc``) or none is (``_no_tc``).
+    """
+    s = ag.shares_by(_clean(spark, sf_dir), ["bug", "ds"], "label", LABELS).withColumn("tc", F.col("refactoring") + F.col("other") > 0)
+    orders = itertools.permutations(["test", "documentation", "bugfix"])
+    counts = [F.count_if((F.col(a) >= F.col(b)) & (F.col(b) >= F.col(c)) & (F.col("tc") == tc)).alias(f"{a[0]}{b[0]}{c[0]}{'_tc' if tc else '_no_tc'}") for a, b, c in orders for tc in (True, False)]
     return s.groupBy("ds").agg(F.count(F.lit(1)).alias("bugs"), *counts, F.count_if((F.col("test") > 0) & (F.col("cosmetic") > 0)).alias("with_tests_and_style"))
 
 
@@ -232,7 +237,7 @@ SQL = {
     "confusion_pairs": f"WITH {BASE}, {VOTE}, p AS (SELECT v.label AS consensus, l.label AS label, count(*) AS n FROM labels l JOIN vote v USING (id, file, image, line) GROUP BY 1, 2) SELECT consensus, label, n, round(n / sum(n) OVER (PARTITION BY consensus), 6)::DOUBLE AS share FROM p",
     "share_by_group": f"WITH {BASE}, p AS (SELECT fcat, label, count(*) AS n FROM labels GROUP BY 1, 2) SELECT fcat, label, n, round(n / sum(n) OVER (PARTITION BY fcat), 6)::DOUBLE AS share FROM p",
     "pivot_share": f"WITH {BASE}, s AS ({_SHARES.format('ds')}) SELECT ds, " + ", ".join(f"round({x}, 6)::DOUBLE AS {x}" for x in LABELS) + " FROM s",
-    "label_structure": f"WITH {BASE}, s AS ({_SHARES.format('bug, ds')}) SELECT ds, count(*) AS bugs, " + ", ".join(f"count(*) FILTER ({a} >= {b} AND {b} >= {c}) AS {a[0]}{b[0]}{c[0]}" for a, b, c in _ORDERS) + ", count(*) FILTER (test > 0 AND cosmetic > 0) AS with_tests_and_style FROM s GROUP BY 1",
+    "label_structure": f"WITH {BASE}, s AS ({_SHARES.format('bug, ds')}) SELECT ds, count(*) AS bugs, " + ", ".join(f"count(*) FILTER ({a} >= {b} AND {b} >= {c} AND refactoring + other {op} 0) AS {a[0]}{b[0]}{c[0]}{name}" for a, b, c in _ORDERS for op, name in ((">", "_tc"), ("=", "_no_tc"))) + ", count(*) FILTER (test > 0 AND cosmetic > 0) AS with_tests_and_style FROM s GROUP BY 1",
     "fleiss_kappa": f"""WITH {BASE}, cells AS (SELECT id, file, image, line, label, count(*)::DOUBLE AS c FROM labels GROUP BY ALL), i AS (SELECT id, file, image, line, sum(c)::BIGINT AS n, sum(c * c) AS c2 FROM cells GROUP BY ALL HAVING sum(c) > 1),
         p AS (SELECT n, count(*) AS k, avg((c2 - n) / (n * (n - 1))) AS seen FROM i GROUP BY n), j AS (SELECT i.n, label, sum(c) AS c FROM cells JOIN i ON cells.id IS NOT DISTINCT FROM i.id AND cells.file IS NOT DISTINCT FROM i.file AND cells.image IS NOT DISTINCT FROM i.image AND cells.line IS NOT DISTINCT FROM i.line GROUP BY 1, 2),
         q AS (SELECT n, sum(pow(c / (n * k), 2)) AS chance FROM j JOIN p USING (n) GROUP BY 1)

@@ -177,7 +177,8 @@ def gravatar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def time_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = _commits(spark, sf_dir).agg(F.max("author_date").alias("d"))
     months = F.explode(F.array(*[F.lit(n) for n in (1, 3, 6, 12, 24)])).alias("months")
-    return last.select("d", months).select("months", F.date_format(F.add_months("d", -F.col("months")), "yyyy.MM.dd").alias("since"))
+    ranges = last.select("d", months).select("months", F.date_format(F.add_months("d", -F.col("months")), "yyyy.MM.dd").alias("since"))
+    return last.select(F.lit(None).cast("int").alias("months"), F.lit("").alias("since")).unionByName(ranges)  # all of it
 
 
 def humanised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,7 +303,7 @@ SQL = {
         SELECT spine.bucket::VARCHAR AS bucket, coalesce(n, 0) AS n FROM spine LEFT JOIN m ON spine.bucket = m.bucket""",
     "names_of_columns": "SELECT key, sum(n)::BIGINT AS n FROM (UNPIVOT (SELECT COLUMNS('^(language|type|purpose):') FROM timeline) ON * INTO NAME key VALUE n) GROUP BY 1",
     "gravatar": f"WITH {COMMITS} SELECT DISTINCT author_email, 'https://www.gravatar.com/avatar/' || sha256(lower(trim(author_email))) || '?s=16&d=retro' AS url FROM commits WHERE author_email IS NOT NULL",
-    "time_ranges": f"WITH {COMMITS}, m AS (SELECT unnest([1, 3, 6, 12, 24])::INT AS months) SELECT months, strftime((SELECT max(author_date) FROM commits)::DATE - to_months(months), '%Y.%m.%d') AS since FROM m",
+    "time_ranges": f"WITH {COMMITS}, m AS (SELECT unnest([1, 3, 6, 12, 24])::INT AS months) SELECT months, strftime((SELECT max(author_date) FROM commits)::DATE - to_months(months), '%Y.%m.%d') AS since FROM m UNION ALL SELECT NULL, ''",
     "humanised": f"WITH {COMMITS}, s AS (SELECT dataset, sum(p_count)::BIGINT AS n, max(author_date) AS d FROM commits GROUP BY 1) SELECT dataset, format('{{:,}}', n) AS lines, strftime(d, '%-d %b %Y') AS last, strftime(d, '%Y-%m') AS month, printf('%-14s: %6d lines', dataset, n) AS label FROM s",
     "round_10s": f"""WITH {COMMITS}, x AS (SELECT DISTINCT p_count FROM commits) SELECT p_count, CASE WHEN p_count > 0 THEN ceil(p_count / pow(10, floor(log10(p_count)))) * pow(10, floor(log10(p_count))) ELSE 1.0 END::DOUBLE AS up,
         CASE WHEN p_count > 0 THEN floor(p_count / 10.0 / pow(10, floor(log10(p_count / 10.0)))) * pow(10, floor(log10(p_count / 10.0))) ELSE 0.0 END::DOUBLE AS width FROM x""",

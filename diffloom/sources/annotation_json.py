@@ -91,11 +91,23 @@ def find_reports(spark: SparkSession, path: str, kind: str = "timeline") -> Data
     return found.select(F.col("path").alias("file_path"), report_name(F.col("path")).alias("name"))
 
 
-def read_timeline(spark: SparkSession, path: str) -> DataFrame:
-    """(dataset, record): the records of timeline reports, {dataset: [record, ...]}, each a map of its values as text."""
+def read_timeline(spark: SparkSession, path: str, counts: list[str] | None = None) -> DataFrame:
+    """(dataset, record, counts): the records of timeline reports, {dataset: [record, ...]}, each a map of its values as text.
+
+    counts has the record's whole numbers; ``counts`` gives them columns of their own, null where a record has none. A report without
+    records gives no rows.
+    """
     raw = spark.read.format("text").option("wholetext", "true").load(path)
     rows = raw.select(F.explode(F.from_json("value", "map<string,array<map<string,string>>>")).alias("dataset", "records"))
-    return rows.select("dataset", F.explode("records").alias("record"))
+    rows = rows.select("dataset", F.explode("records").alias("record"))
+    rows = rows.withColumn("counts", F.map_filter(F.transform_values("record", lambda _, v: F.when(v.rlike(r"^-?\d+$"), v.try_cast("bigint"))), lambda _, v: v.isNotNull()))
+    return rows.select("*", *[F.col("counts")[k].alias(k) for k in counts or ()])
+
+
+def read_records(spark: SparkSession, path: str, schema: str, kind: str = "csv", **options: str) -> DataFrame:
+    """Records of CSV (with a header) or JSON files in ``schema``; a record that doesn't fit it is null but for ``_damaged``, its text."""
+    given = {"header": "true", "multiLine": "true"} if kind == "csv" else {}
+    return spark.read.format(kind).schema(f"{schema}, _damaged string").options(columnNameOfCorruptRecord="_damaged", **(given | options)).load(path)
 
 
 def companion(path: Column) -> Column:

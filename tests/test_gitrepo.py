@@ -97,3 +97,22 @@ def test_log_with_whole_images(spark, repo):
     assert kinds(gr.blobs_of(diff_lines(patches), path)) == {("+", 3): "documentation", ("-", 3): "documentation"}
     with pytest.raises(Exception, match="git|bad"):
         spark.read.format("gitlog").option("path", path).option("revisions", "nothing").load().collect()
+
+
+def test_commands(spark, repo, tmp_path, capsys):
+    """From a history to patches, documents and a report, by the command line."""
+    import json
+
+    from diffloom.__main__ import main
+
+    path, ids = repo
+    assert main(["patches", path, str(tmp_path / "bug-1" / "patches")], spark) == 0
+    assert main(["annotate", str(tmp_path / "bug-1" / "patches"), str(tmp_path / "a"), "--ext-to-language", ".py:Lua", "--line-callback", "bugfix"], spark) == 0
+    assert main(["from-repo", path, str(tmp_path / "b"), "--use-repo", "--bug", "demo"], spark) == 0
+    assert main(["lines-stats", str(tmp_path / "b"), str(tmp_path / "stats.json")], spark) == 0
+    assert capsys.readouterr().out.split()[:3] == ["3", "3", "3"]
+    document = json.loads(next((tmp_path / "a").rglob(f"{ids[2]}.v2.json")).read_text())
+    assert document["changes"]["a.py"]["language"] == "Lua" and document["changes"]["a.py"]["+"][0]["type"] == "bug(fix)"
+    assert json.loads((tmp_path / "b" / "demo" / "annotation" / f"{ids[2]}.v2.json").read_text())["changes"]["a.py"]["+"][0]["type"] == "documentation"
+    rows = json.loads((tmp_path / "stats.json").read_text())
+    assert {(r["file_name"], r["key"]): r["n"] for r in rows if r["patch_id"] == ids[2] and r["side"] == "+"}["a.py", "type.documentation"] == 1

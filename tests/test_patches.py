@@ -145,7 +145,7 @@ def test_read_and_write_diffs(spark, tmp_path):
     rows = diffs.read_diffs(spark, str(tmp_path / "ds")).collect()
     assert [(r.bug_id, r.patch_id) for r in rows] == [("bug-1", "1" * 40)]
     sinks.write_diffs(spark.createDataFrame([("ab" + "c" * 38, PATCH)], "patch_id string, text string"), str(tmp_path / "out"))
-    assert len(list((tmp_path / "out" / "fan_out=ab").rglob("*.txt"))) == 1
+    assert (tmp_path / "out" / "ab" / ("c" * 38 + ".diff")).read_text() == PATCH
 
 
 @pytest.mark.parametrize(
