@@ -111,7 +111,7 @@ def test_commands(spark, repo, tmp_path, capsys):
     assert main(["from-repo", path, str(tmp_path / "b"), "--use-repo", "--bug", "demo"], spark) == 0
     assert main(["lines-stats", str(tmp_path / "b"), str(tmp_path / "stats.json")], spark) == 0
     assert capsys.readouterr().out.split()[:3] == ["3", "3", "3"]
-    document = json.loads(next((tmp_path / "a").rglob(f"{ids[2]}.v2.json")).read_text())
+    document = json.loads(next((tmp_path / "a").rglob(f"{ids[0]}.v2.json")).read_text())
     assert document["changes"]["a.py"]["language"] == "Lua" and document["changes"]["a.py"]["+"][0]["type"] == "bug(fix)"
     assert json.loads((tmp_path / "b" / "demo" / "annotation" / f"{ids[2]}.v2.json").read_text())["changes"]["a.py"]["+"][0]["type"] == "documentation"
     rows = json.loads((tmp_path / "stats.json").read_text())
