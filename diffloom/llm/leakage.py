@@ -109,6 +109,8 @@ class Search:
 SHORT = 16
 #: Up to so many shingles of items are sent to every task (about 100 bytes each); beyond, candidates come by a join.
 ITEM_SHINGLES = 1_000_000
+#: Bits of the filter that is sent to every task in the join: 16 MB.
+FILTER_BITS = 1 << 27
 
 
 def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,33 +178,55 @@ def _searcher(search: Search, known: DataFrame):
     return run
 
 
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of one hash over ``keys`` (key): bytes of fixed size, whatever the number of keys."""
+    place = F.pmod("key", F.lit(bits)) + 1
+    parts = keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():  # 4 KB each, as many as the filter has bits
+        part = np.frombuffer(r.bits, np.uint8)
+        out[(r.bucket - 1) * len(part) : r.bucket * len(part)] = part
+    return out
+
+
+def kept(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The keys that the filter may hold."""
+    place = np.mod(keys, len(known) * 8)
+    return keys[(known[place >> 3] >> (place & 7)) & 1 == 1]
+
+
 def _joined(search: Search, known: DataFrame, texts: DataFrame, schema: str, doc_kind: str, item_kind: str) -> DataFrame:
-    """The search for any number of items: candidates by a join on keys, verified beside their texts."""
+    """The search for any number of items: candidates by a join on keys, verified beside their texts.
 
-    def doc_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                sequence = sequence_of(text if isinstance(text, str) else None)
-                rows.append((doc, search.document_keys(sequence), np.unique(sequence).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "keys", "shingles"])
+    Keys of documents meet a filter of the items' keys before they leave the text, and texts without any key that may be an
+    item's go no further.
+    """
 
     def item_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for item, shingles in zip(pdf["item_id"], pdf["shingles"]):
-                shingles = np.asarray(shingles, np.int64).view(np.uint64)
-                rows.append((item, search.item_keys(shingles) if len(shingles) >= SHORT else np.empty(0, np.int64)))
+                shingles = np.asarray(shingles, np.int64)
+                rows.append((item, search.item_keys(shingles.view(np.uint64)) if len(shingles) >= SHORT else shingles))
             yield pd.DataFrame(rows, columns=["item_id", "keys"])
 
+    # the keys of long items are MinHash keys, those of short ones their shingles
+    wanted = cut(known.mapInPandas(item_keys, f"item_id {item_kind}, keys array<bigint>").select("item_id", F.explode("keys").alias("key")))
+    sent = known.sparkSession.sparkContext.broadcast(key_filter(wanted.select("key")))
+
+    def doc_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                sequence = sequence_of(text if isinstance(text, str) else None)
+                whole = np.unique(sequence).view(np.int64)
+                keys = np.union1d(kept(search.document_keys(sequence), sent.value), kept(whole, sent.value))
+                if len(keys):
+                    rows.append((doc, keys, whole))
+            yield pd.DataFrame(rows, columns=["doc_id", "keys", "shingles"])
+
     docs = cut(texts.mapInPandas(doc_keys, f"doc_id {doc_kind}, keys array<bigint>, shingles array<bigint>"))
-    by_key = docs.select("doc_id", F.explode("keys").alias("key")).join(
-        known.mapInPandas(item_keys, f"item_id {item_kind}, keys array<bigint>").select("item_id", F.explode("keys").alias("key")), "key"
-    )
-    by_shingle = docs.select("doc_id", F.explode("shingles").alias("key")).join(
-        known.filter(F.size("shingles") < SHORT).select("item_id", F.explode("shingles").alias("key")), "key"
-    )
-    pairs = by_key.select("doc_id", "item_id").unionByName(by_shingle.select("doc_id", "item_id")).distinct()
+    pairs = docs.select("doc_id", F.explode("keys").alias("key")).join(wanted, "key").select("doc_id", "item_id").distinct()
     both = pairs.join(docs.select("doc_id", F.col("shingles").alias("whole")), "doc_id").join(known, "item_id")
     share = F.size(F.array_intersect("shingles", "whole")) / F.size("shingles")
     return both.select("doc_id", "item_id", share.cast("double").alias("containment")).filter(F.col("containment") >= CONTAINED)

@@ -74,3 +74,15 @@ def test_hashes_needed_give_the_recall():
         n = m.hashes_needed(item, largest)
         common = m.CONTAINED * item
         assert 1 - (1 - common / (largest + item - common)) ** n >= m.RECALL
+
+
+def test_key_filter(spark):
+    import numpy as np
+
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000, dtype=np.int64)
+    have, others = keys[:500], keys[500:]
+    known = m.key_filter(spark.createDataFrame([(int(k),) for k in have], "key bigint"), bits=1 << 20)
+    assert len(known) == 1 << 17
+    assert set(m.kept(have, known)) == set(have)
+    assert len(m.kept(others, known)) < 20
+    assert not m.key_filter(spark.createDataFrame([], "key bigint"), bits=1 << 20).any()
