@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 FILE = ("patch_id", "file_idx")
 HUNK = (*FILE, "hunk_idx")
+#: Numbers that are made at a time where gaps are filled.
+PIECE = 4096
 
 
 def changed() -> Column:
@@ -113,9 +115,13 @@ def hunk_line_numbers(lines: DataFrame, keys: tuple[str, ...] = HUNK, order: tup
 
 
 def front_fill(rows: DataFrame, keys: list[str], number: str, value: str) -> DataFrame:
-    """Every number from the least to the greatest of each group, with the last value at or before it."""
+    """Every number from the least to the greatest of each group, with the last value at or before it.
+
+    Numbers are made in pieces, so that a stray one far away is no long array.
+    """
     ends = rows.groupBy(*keys).agg(F.min(number).alias("a"), F.max(number).alias("z"))
-    every = ends.select(*keys, F.explode(F.sequence("a", "z")).alias(number)).join(rows.select(*keys, number, value), [*keys, number], "left")
+    pieces = ends.select(*keys, "z", F.explode(F.sequence("a", "z", F.lit(PIECE))).alias("a"))
+    every = pieces.select(*keys, F.explode(F.sequence("a", F.least(F.col("a") + (PIECE - 1), "z"))).alias(number)).join(rows.select(*keys, number, value), [*keys, number], "left")
     w = Window.partitionBy(*keys).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
     return every.withColumn(value, F.last(value, ignorenulls=True).over(w))
 

@@ -117,10 +117,15 @@ def bihistogram(rows: DataFrame, up: str, down: str, width: float) -> DataFrame:
     return a.join(b, "bin", "full").fillna(0)
 
 
-def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, count, mean, std, min, q25, q50, q75, max) of numeric columns; quantiles are interpolated."""
+def describe(rows: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """(column, count, mean, std, min, q25, q50, q75, max) of numeric columns; quantiles are interpolated.
+
+    Exact quantiles need all different values of a column in one task. With ``accuracy`` they are within 1/accuracy of their rank and
+    come from sketches that merge, for columns of very many values.
+    """
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
-    quantiles = [F.expr(f"percentile(x, {q})").alias(n) for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
+    function = f"approx_percentile(x, {{}}, {accuracy})" if accuracy else "percentile(x, {})"
+    quantiles = [F.expr(function.format(q)).alias(n) for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
     return long.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), *quantiles, F.max("x").alias("max"))
 
 

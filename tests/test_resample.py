@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from diffloom.functions.buckets import RULES, bucket
 from diffloom.operators import authors as au
+from diffloom.operators import chunks as ch
 from diffloom.operators import resample as rs
 
 EDGES = ["2024-01-01 00:00:00", "2024-01-14 23:59:59", "2024-01-15 00:00:00", "2024-01-31 23:00:00", "2024-02-01 00:00:00", "2024-02-28 12:00:00", "2024-02-29 12:00:00", "2023-12-31 23:59:59", "2024-03-31 00:00:00", "2024-04-07 10:00:00", "2024-04-08 00:00:00"]
@@ -114,3 +115,16 @@ def test_stream_gives_the_batch_answer(spark, tmp_path):
         assert {tuple(r) for r in spark.table(name).collect()} == {tuple(r) for r in ts.bucket_counts(df, rule).collect()}
     weekly = {r.week: r.n_commits for r in ts.weekly_counts(df).collect()}
     assert weekly == {r.bucket: r.n_commits for r in ts.bucket_counts(df, "W").collect()}
+
+
+def test_describe_by_sketches(spark):
+    rows = spark.range(10_001).select(F.col("id").alias("a"))
+    exact, near = (rs.describe(rows, ["a"], accuracy).first() for accuracy in (None, 1000))
+    assert (exact.q25, exact.q50, exact.q75) == (2500, 5000, 7500)
+    assert all(abs(near[q] - exact[q]) <= 20 for q in ("q25", "q50", "q75"))
+
+
+def test_front_fill_over_a_wide_gap(spark):
+    rows = spark.createDataFrame([("k", 1, "a"), ("k", 9000, "b"), ("k", 9001, None), ("l", 5, "c")], "k string, n int, v string")
+    got = {(r.k, r.n): r.v for r in ch.front_fill(rows, ["k"], "n", "v").collect()}
+    assert len(got) == 9002 and got["k", 8999] == "a" and got["k", 9001] == "b" and got["l", 5] == "c"
