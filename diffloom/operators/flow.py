@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diffloom.functions.scalars import adjusted_depth, ancestors, parent
+from diffloom.session import cut
 
 
 def summed(edges: DataFrame) -> DataFrame:
@@ -46,9 +47,9 @@ def own_node(directory: Column) -> Column:
 
 def own_files(edges: DataFrame) -> DataFrame:
     """Edges in which a directory with both sub-directories and kinds sends its kinds through a node of its own, ``__dir__``."""
-    dirs = edges.filter(~kind_of_node(F.col("dst"))).select("src").intersect(edges.filter(kind_of_node(F.col("dst"))).select("src"))
-    marked = edges.join(dirs.withColumn("_both", F.lit(True)), "src", "left")
-    moved = F.coalesce("_both", F.lit(False)) & kind_of_node(F.col("dst"))
+    to_kind, same = kind_of_node(F.col("dst")), Window.partitionBy("src")
+    marked = edges.withColumn("_both", F.bool_or(to_kind).over(same) & F.bool_or(~to_kind).over(same))
+    moved = F.col("_both") & to_kind
     links = F.when(moved, F.array(F.struct("src", own_node(F.col("src")).alias("dst")), F.struct(own_node(F.col("src")).alias("src"), "dst"))).otherwise(F.array(F.struct("src", "dst")))
     return summed(marked.select(F.explode(links).alias("e"), "n").select("e.src", "e.dst", "n"))
 
@@ -127,15 +128,18 @@ def process(counts: DataFrame, share: float = 0.0, most_files: int | None = None
     Files with as many lines are taken by name.
     """
     if most_files is not None:
+        counts = cut(counts)
         top = counts.groupBy("file_name").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "file_name").limit(most_files)
         counts = counts.join(top.select("file_name"), "file_name", "left_semi")
     edges = own_files(directory_rollup(counts))
-    return thin_out(edges, share) if 0 < share < 1 else edges
+    # stored, as it is read four times
+    return thin_out(cut(edges), share) if 0 < share < 1 else edges
 
 
 def process_patches(counts: DataFrame, most_parts: int, most_thin: float) -> DataFrame:
     """Directories of split paths, limited in depth and then in width: the flow of a choice of patches, such as an author's."""
-    return limit_width(limit_depth(files_to_directories(split_directories(counts)), most_parts), most_thin)
+    split = cut(split_directories(counts))
+    return limit_width(cut(limit_depth(files_to_directories(split), most_parts)), most_thin)
 
 
 def labels(edges: DataFrame, root: str) -> DataFrame:
