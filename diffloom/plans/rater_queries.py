@@ -224,7 +224,7 @@ def _values(name: str, values: list[str]) -> str:
     return "(VALUES " + ", ".join("('" + v.replace("'", "''") + "')" for v in values) + f") t({name})"
 
 
-_AUTH = r"^((.*) <(.*)>) ([0-9]+) ([-+][0-9]{4})$"
+_AUTH = scalars.AUTHORSHIP
 SQL = {
     "pair_agreement": f"WITH {BASE} SELECT a.u AS user_a, b.u AS user_b, count(*) AS n, count(*) FILTER (a.label = b.label) AS n_same FROM labels a JOIN labels b ON a.id = b.id AND a.file = b.file AND a.image = b.image AND a.line = b.line AND a.u < b.u GROUP BY 1, 2",
     "user_against_auto": f'WITH {BASE} SELECT a.u AS "user", count(*) AS n, count(*) FILTER (a.label = b.label) AS n_same FROM labels a JOIN tool b USING (id, file, image, line) GROUP BY 1',
